@@ -88,10 +88,10 @@ def _(fx):
     select doc_id, line_number, cast(errors as int) errors, cast(length(r) as int) units,
       round(case when length(r)>0 then cast(errors as double)/length(r) when errors=0 then 0e0 end, 6) rate from c""")
 def _(fx):
-    e = T.char_distance(F.col("r"), F.col("p"))
-    return _normal_pairs(fx).select(
-        "doc_id", "line_number", e.alias("errors"), F.length("r").alias("units"),
-        F.round(T.error_rate(e, F.length("r")), 6).alias("rate"),
+    e = T.error_struct(T.char_distance(F.col("r"), F.col("p")), F.length("r"))
+    return _normal_pairs(fx).select("doc_id", "line_number", e.alias("e")).select(
+        "doc_id", "line_number", F.col("e.errors").alias("errors"), F.col("e.reference_units").alias("units"),
+        F.round("e.rate", 6).alias("rate"),
     )
 
 

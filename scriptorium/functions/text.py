@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 # Whitespace as understood by Python's str.split, including the
 # information separators that the Unicode White_Space property leaves out.
@@ -19,7 +20,7 @@ KNOWN_CONFUSIONS = ("lest", "tesl", "tost")
 _WORD_CODE_BASE = 0x20000
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
@@ -59,16 +60,44 @@ def let(value: Column, body) -> Column:
 
 
 # Bounds tried before the full distance; a banded run costs bound x length cells only.
-_BANDS = (24, 256, 2560)
+_BANDS = (24, 256)
 _SHORT = 64
+# Pairs with more cells than this go to the bit-parallel form.
+_LONG_CELLS = 150_000
+
+
+def _bit_parallel(left: str, right: str) -> int:
+    """Edit distance with one big-integer column step per character of ``right``."""
+    if not left or not right:
+        return len(left) + len(right)
+    width = len(left)
+    full, top = (1 << width) - 1, 1 << (width - 1)
+    where: dict[str, int] = {}
+    for i, c in enumerate(left):
+        where[c] = where.get(c, 0) | (1 << i)
+    plus, minus, distance = full, 0, width
+    for c in right:
+        same = where.get(c, 0)
+        diagonal = (((same & plus) + plus) ^ plus) | same
+        up = minus | (full & ~(diagonal | plus))
+        down = plus & diagonal
+        distance += 1 if up & top else -1 if down & top else 0
+        up, down = ((up << 1) | 1) & full, (down << 1) & full
+        vertical = same | minus
+        plus, minus = down | (full & ~(vertical | up)), up & vertical
+    return distance
+
+
+@F.pandas_udf(IntegerType())
+def _long_distance(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series(
+        [None if a is None or b is None else _bit_parallel(a, b) for a, b in zip(left, right, strict=True)],
+        dtype="Int32",
+    )
 
 
-def char_distance(left: Column, right: Column) -> Column:
-    """Unit-cost edit distance over code points.
-
-    The bounded form returns -1 beyond its bound, so growing bounds give the exact distance
-    and long texts with few errors never pay the quadratic price.
-    """
+def _banded(left: Column, right: Column) -> Column:
+    """JVM distance. The bounded form returns -1 beyond its bound, so growing bounds are exact."""
 
     def attempt(bands: tuple[int, ...]) -> Column:
         if not bands:
@@ -79,6 +108,17 @@ def char_distance(left: Column, right: Column) -> Column:
     return F.when(short, F.levenshtein(left, right)).otherwise(attempt(_BANDS))
 
 
+def char_distance(left: Column, right: Column) -> Column:
+    """Unit-cost edit distance over code points, exact for texts of any length.
+
+    Ordinary lines stay in the JVM. Very long pairs, where the quadratic table would hold a
+    task for minutes, are the only rows sent to the bit-parallel helper (others go as NULL).
+    """
+    long = F.length(left).cast("long") * F.length(right) > _LONG_CELLS
+    far = _long_distance(F.when(long, left), F.when(long, right))
+    return F.coalesce(far, F.when(~long, _banded(left, right)))
+
+
 def word_distance(left: Column, right: Column) -> Column:
     """Edit distance between word arrays.
 
@@ -98,7 +138,7 @@ def word_distance(left: Column, right: Column) -> Column:
             F.array_distinct(F.concat(pair["l"], pair["r"])),
             lambda v: F.struct(coded(pair["l"], v).alias("l"), coded(pair["r"], v).alias("r")),
         )
-        return let(texts, lambda t: char_distance(t["l"], t["r"]))
+        return let(texts, lambda t: _banded(t["l"], t["r"]))
 
     return let(F.struct(left.alias("l"), right.alias("r")), distance)
 
@@ -109,10 +149,13 @@ def error_rate(errors: Column, units: Column) -> Column:
 
 
 def error_struct(errors: Column, units: Column) -> Column:
-    return F.struct(
-        errors.cast("int").alias("errors"),
-        units.cast("int").alias("reference_units"),
-        error_rate(errors, units).alias("rate"),
+    return let(
+        F.struct(errors.cast("int").alias("errors"), units.cast("int").alias("reference_units")),
+        lambda v: F.struct(
+            v["errors"].alias("errors"),
+            v["reference_units"].alias("reference_units"),
+            error_rate(v["errors"], v["reference_units"]).alias("rate"),
+        ),
     )
 
 
