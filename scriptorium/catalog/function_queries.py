@@ -132,11 +132,10 @@ def _tokens(fx):
 
 
 @query("f8_keyword_similarity", """
-    with w as (select distinct regexp_replace(lower(text),'[^a-z]','','g') v from fx_words where length(text)=strlen(text))
-    select v, round(case when length(v)=0 then 0e0 else greatest(0e0,1-cast(levenshtein(v,'test') as double)/greatest(length(v),4)) end, 9) similarity from w""")
+    with w as (select distinct regexp_replace(lower(text),'[^\\p{L}]','','g') v from fx_words)
+    select v, round(case when length(v)=0 then 0e0 else greatest(0e0,1-cast(levenshtein(regexp_replace(v,'[^a-z]','#','g'),'test') as double)/greatest(length(v),4)) end, 9) similarity from w""")
 def _(fx):
-    ascii_only = fx.words().where(F.length("text") == F.octet_length("text"))
-    v = ascii_only.select(T.letters(F.col("text")).alias("v")).distinct()
+    v = fx.words().select(T.letters(F.col("text")).alias("v")).distinct()
     return v.select("v", F.round(T.keyword_similarity(F.col("v")), 9).alias("similarity"))
 
 

@@ -144,7 +144,24 @@ def chain_candidates(fx):
     return c.select("paper_id", "candidate_no", noisy.alias("test_number"), (F.col("conf") / 100.0).alias("confidence"))
 
 
-@query("w9_increasing_chain")
+def chain_sql(source: str) -> str:
+    """Best chain per paper from ``source`` (paper_id, no, num, conf) by an ordered fold."""
+    support = "(case n[1].num-q.num when 1 then 1e0 when 2 then 0.7e0 else 0.4e0 end)"
+    return f"""
+    items as (select paper_id, list([struct_pack(num:=num, score:=case when num=1 then conf+0.1e0 else conf end, chain:=[no])] order by no) items from {source} group by 1),
+    walked as (select paper_id, list_reduce(items, lambda acc, n: list_concat(acc, list_transform(list_sort(list_concat(
+        list_transform(list_filter(acc, lambda q: q.num<n[1].num), lambda q: struct_pack(neg:=-(q.score+n[1].score+0.25e0*{support}), chain:=list_append(q.chain,n[1].chain[1]))),
+        [struct_pack(neg:=-n[1].score, chain:=n[1].chain)]))[1:1], lambda b: struct_pack(num:=n[1].num, score:=-b.neg, chain:=b.chain)))) acc from items),
+    accepted as (select paper_id, unnest(list_sort(list_transform(acc, lambda q, i: struct_pack(neg:=-q.score, i:=i, chain:=q.chain)))[1].chain) no from walked)"""
+
+
+CHAIN_CANDIDATES_SQL = """
+    c as (select paper_id, page_number, cast(row_number() over (partition by paper_id order by page_number, y, x, k)-1 as int) no,
+        cast(case when conf%4=0 then conf%16+1 else true_number end as int) num, conf/100e0 conf from fx_headings),
+    e as (select * from c where num between 1 and 16 and conf>=0.10e0)"""
+
+
+@query("w9_increasing_chain", f"with {CHAIN_CANDIDATES_SQL}, {chain_sql('e')} select paper_id, no candidate_no from accepted")
 def _(fx):
     return Q.increasing_chain(chain_candidates(fx), R.EXPECTED, 0.10)
 
@@ -230,7 +247,31 @@ def risk_proposals(fx):
     )
 
 
-@query("w13_evidence_suppression")
+_C13 = crop("x", "y", "width", "height", True)
+
+
+def _same_evidence_sql(k: str, n: str, limit: str) -> str:
+    i = f"(greatest(0,least({k}.x+{k}.w,{n}.x+{n}.w)-greatest({k}.x,{n}.x))*greatest(0,least({k}.y+{k}.h,{n}.y+{n}.h)-greatest({k}.y,{n}.y)))"
+    return (
+        f"({i}/cast({k}.w*{k}.h+{n}.w*{n}.h-{i} as double)>{limit} or {i}/cast(least({k}.w*{k}.h,{n}.w*{n}.h) as double)>0.84e0 "
+        f"or (sqrt(pow({k}.cx-{n}.cx,2)+pow({k}.cy-{n}.cy,2))<0.28e0*least({n}.w,{n}.h) and list_has_any({k}.sig,{n}.sig)))"
+    )
+
+
+def _risk_sql() -> str:
+    from scriptorium.catalog.function_queries import MARK_SQL
+
+    return MARK_SQL + f""",
+    r as (select paper_id, page_number, component_no no, category, sorted_signals sig, n_signals, x+width/2e0 cx, y+height/2e0 cy, {_C13['x']} rx, {_C13['y']} ry, {_C13['w']} rw, {_C13['h']} rh,
+        least(1e0, case category when 'mixed_teacher_context_risk' then 0.22e0 when 'tick_cross_correction_risk' then 0.18e0 when 'margin_score_risk' then 0.16e0
+          when 'chromatic_ink_risk' then 0.14e0 else 0.08e0 end + least(0.35e0,n_signals*0.055e0) + 0.12e0*chroma + 0.10e0*margin_prox + 0.08e0*least(1e0,angled/4e0)) score from g where n_signals>0)"""
+
+
+@query("w13_evidence_suppression", f"""with {_risk_sql()},
+    listed as (select paper_id, page_number, list([struct_pack(no:=no,x:=rx,y:=ry,w:=rw,h:=rh,cx:=cx,cy:=cy,sig:=sig,category:=category,score:=score)] order by -score, -n_signals, ry, rx, category, no) items from r group by all),
+    folded as (select paper_id, page_number, list_reduce(items, lambda acc, n: case when len(list_filter(acc, lambda k: {_same_evidence_sql('k', 'n[1]', '0.52e0')}))=0 then list_concat(acc,n) else acc end) m from listed),
+    kept as (select paper_id, page_number, unnest(m) m from folded)
+    select paper_id, page_number, m.no proposal_no, m.category category, round(m.score,9) score from kept""")
 def _(fx):
     return P.drop_same_evidence(risk_proposals(fx)).select(*PAGE, "proposal_no", "category", F.round("score", 9).alias("score"))
 
@@ -252,12 +293,39 @@ def expansion_pool(fx):
 QUOTAS = {"printed_candidate": 10, "student_candidate": 12, "teacher_mark_risk_candidate": 12, "mixed_uncertain_candidate": 6, "blank_answer_candidate": 8}
 
 
-@query("w14_balanced_selection")
+_QUOTA_SQL = "case n[1].cat " + " ".join(f"when {i + 1} then {q}" for i, q in enumerate(QUOTAS.values())) + " end"
+_C14 = crop("hx", "hy", "hw", "hh")
+_IOU14 = (
+    "(greatest(0,least(k.x+k.w,n[1].x+n[1].w)-greatest(k.x,n[1].x))*greatest(0,least(k.y+k.h,n[1].y+n[1].h)-greatest(k.y,n[1].y)))"
+)
+
+
+@query("w14_balanced_selection", f"""
+    with p as (select sample_id%20 dataset_id, 'paper-'||cast(floor(sample_id%340/20e0) as int) alias, cast(sample_id%7+1 as int) page, sample_id*1000+box_idx no, cast(box_idx%5+1 as int) cat,
+        {_C14['x']} x, {_C14['y']} y, {_C14['w']} w, {_C14['h']} h, (hx*7+hy)%100/100e0 score from fx_numbered_boxes),
+    listed as (select dataset_id, list([struct_pack(no:=no,alias:=alias,page:=page,cat:=cat,x:=x,y:=y,w:=w,h:=h)] order by cat, -score, alias, page, y, x, no) items from p group by 1),
+    folded as (select dataset_id, list_reduce(items, lambda acc, n: case when len(list_filter(acc, lambda k: k.cat=n[1].cat))<({_QUOTA_SQL}) and len(list_filter(acc, lambda k: k.alias=n[1].alias))<5
+        and len(list_filter(acc, lambda k: k.alias=n[1].alias and k.page=n[1].page and {_IOU14}/cast(k.w*k.h+n[1].w*n[1].h-{_IOU14} as double)>0.55e0))=0 then list_concat(acc,n) else acc end) m from listed)
+    select dataset_id, m.no proposal_no, ['printed_candidate','student_candidate','teacher_mark_risk_candidate','mixed_uncertain_candidate','blank_answer_candidate'][m.cat] category, cast(i as int) pick_no
+    from (select dataset_id, unnest(m) m, generate_subscripts(m,1) i from folded)""")
 def _(fx):
     return P.select_expansion(expansion_pool(fx), QUOTAS).select("dataset_id", "proposal_no", "category", "pick_no")
 
 
-@query("w15_quota_then_fill")
+_TARGETS = list(P.MARK_RISK_TARGETS.items())
+_RANK15 = "case category " + " ".join(f"when '{c}' then {i}" for i, (c, _q) in enumerate(_TARGETS)) + " end"
+_TARGET15 = "case n[1].cat " + " ".join(f"when '{c}' then {q}" for c, q in _TARGETS) + " end"
+
+
+@query("w15_quota_then_fill", f"""with {_risk_sql()},
+    p as (select paper_id%5 dataset_id, 'paper-'||paper_id alias, page_number page, paper_id*100000+page_number*10000+no pno, * exclude (no) from r),
+    t as (select *, 0 phase, {_RANK15} turn from p union all select *, 1, 0 from p),
+    listed as (select dataset_id, list([struct_pack(no:=pno,alias:=alias,page:=page,cat:=category,phase:=phase,x:=rx,y:=ry,w:=rw,h:=rh,cx:=cx,cy:=cy,sig:=sig)] order by phase, turn, -score, -n_signals, alias, page, ry, rx, pno) items from t group by 1),
+    folded as (select dataset_id, list_reduce(items, lambda acc, n: case when
+        (case when n[1].phase=0 then len(list_filter(acc, lambda k: k.cat=n[1].cat))<({_TARGET15}) else len(acc)<48 end)
+        and len(list_filter(acc, lambda k: k.alias=n[1].alias))<3 and len(list_filter(acc, lambda k: k.alias=n[1].alias and k.page=n[1].page))<2
+        and len(list_filter(acc, lambda k: k.alias=n[1].alias and k.page=n[1].page and {_same_evidence_sql('k', 'n[1]', '0.42e0')}))=0 then list_concat(acc,n) else acc end) m from listed)
+    select dataset_id, m.no proposal_no, m.cat category, cast(i as int) pick_no from (select dataset_id, unnest(m[1:48]) m, generate_subscripts(m[1:48],1) i from folded)""")
 def _(fx):
     pool = risk_proposals(fx).select(
         (F.col("paper_id") % 5).alias("dataset_id"), F.concat(F.lit("paper-"), F.col("paper_id").cast("string")).alias("paper_alias"), "page_number",
@@ -276,7 +344,10 @@ def _(fx):
     return r.select("lang", "doc_id", numbered("evidence_v2", F.col("rank")).alias("sample_id"))
 
 
-@query("w17_ordering_accuracy")
+@query("w17_ordering_accuracy", "with " + TRUTH_SQL.format(name="spatial", cond="true") + """,
+    s as (select ta.paper_id, a, b from (select paper_id, list(tn order by ti) a from t group by 1) ta join (select paper_id, list(dn order by di) b from d group by 1) da on ta.paper_id=da.paper_id),
+    l as (select paper_id, a, b, list_reduce(list_prepend(list_transform(range(0,len(b)+1), lambda j: 0::bigint), list_transform(a, lambda q: [q::bigint])), lambda prev, q: list_transform([list_transform(range(1,len(prev)+1), lambda j: case when j=1 then 0 else greatest(prev[j], case when b[j-1]=q[1] then prev[j-1]+1 else 0 end) end)], lambda t0: list_transform([list_transform(range(1,len(t0)+1), lambda j: greatest(t0[j], case when j>1 then t0[j-1] else 0 end))], lambda t1: list_transform([list_transform(range(1,len(t1)+1), lambda j: greatest(t1[j], case when j>2 then t1[j-2] else 0 end))], lambda t2: list_transform([list_transform(range(1,len(t2)+1), lambda j: greatest(t2[j], case when j>4 then t2[j-4] else 0 end))], lambda t3: list_transform([list_transform(range(1,len(t3)+1), lambda j: greatest(t3[j], case when j>8 then t3[j-8] else 0 end))], lambda t4: list_transform([list_transform(range(1,len(t4)+1), lambda j: greatest(t4[j], case when j>16 then t4[j-16] else 0 end))], lambda t5: t5)[1])[1])[1])[1])[1])[1])[len(b)+1] lcs from s)
+    select paper_id, cast(lcs as int) lcs, round(lcs/cast(greatest(len(a),len(b)) as double),9) accuracy from l""")
 def _(fx):
     def listed(df, idx, number, name):
         return df.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(idx, number))), lambda v: v[number]).alias(name))
