@@ -79,8 +79,9 @@ def _(fx):
     return page_confidence(fx.words(), PAGE).withColumn("confidence", F.round("confidence", 9))
 
 
-@query("a6_line_features", """
-    with m as (select paper_id, page_number, 'n:'||block_number||':'||paragraph_number||':'||line_number line_id, word_index, x, y, width, height from fx_words
+# Line statistics: members of each line, per-line facts, deviations.
+LINE_SQL = """
+    m as (select paper_id, page_number, 'n:'||block_number||':'||paragraph_number||':'||line_number line_id, word_index, x, y, width, height from fx_words
         where block_number is not null and paragraph_number is not null and line_number is not null
       union all select t.paper_id, t.page_number, t.line_id, w.word_index, w.x, w.y, w.width, w.height
         from (select distinct paper_id, page_number, 'c:'||(y*2+height)||':'||height line_id, y+height/2e0 cy, height h from fx_words where block_number is null) t
@@ -91,7 +92,10 @@ def _(fx):
     s as (select paper_id, page_number, line_id, avg(abs(height-mh)) hd, avg(abs(y+height-mb)) bd, count(px) gaps, avg(case when px is not null then raw_gap end) mg, stddev_pop(case when px is not null then raw_gap end) sg
       from g join f using (paper_id, page_number, line_id) group by all),
     v as (select f.*, case when n>=2 then least(1e0,hd/greatest(1e0,mh)*2) else 0e0 end hi, case when n>=2 then least(1e0,bd/greatest(1e0,mh)*2) else 0e0 end bi,
-        case when gaps<2 or mg=0 then 0e0 else least(1e0,sg/mg) end si from f join s using (paper_id, page_number, line_id))
+        case when gaps<2 or mg=0 then 0e0 else least(1e0,sg/mg) end si from f join s using (paper_id, page_number, line_id))"""
+
+
+@query("a6_line_features", f"""with {LINE_SQL}
     select paper_id, page_number, line_id, round(hi,9) height_irregularity, round(bi,9) baseline_irregularity, round(si,9) spacing_irregularity,
       round(greatest(0e0,least(1e0,1-(hi+bi+si)/3e0)),9) regularity, round(least(1e0,wa/cast(greatest(1,cast(x1-x0 as bigint)*(y1-y0)) as double)),9) line_density,
       case when n=1 then 1e0 else greatest(0e0,round(1-(n-1)/5e0,9)) end isolation, cast(n as int) word_count_in_line from v""")
@@ -332,10 +336,13 @@ def _(fx):
     )
 
 
-@query("a19_structure_summary", "with " + STRUCTURE_SQL + """
+A19_SQL = "with " + STRUCTURE_SQL + """
     select count(*) paper_count, cast(sum(expected_markers) as bigint) expected_markers, cast(sum(detected_markers) as bigint) detected_markers, cast(sum(true_positives) as bigint) true_positives,
       cast(sum(duplicate_markers) as bigint) duplicate_markers, round(sum(true_positives)/cast(sum(detected_markers) as double),9) "precision", round(sum(true_positives)/cast(sum(expected_markers) as double),9) recall,
-      round(2*sum(true_positives)/cast(sum(detected_markers)+sum(expected_markers) as double),9) f1, round(avg(case when located=0 then 0e0 else ok/cast(located as double) end),9) mean_test_number_accuracy from res""")
+      round(2*sum(true_positives)/cast(sum(detected_markers)+sum(expected_markers) as double),9) f1, round(avg(case when located=0 then 0e0 else ok/cast(located as double) end),9) mean_test_number_accuracy from res"""
+
+
+@query("a19_structure_summary", A19_SQL)
 def _(fx):
     s = V.structure_summary(structure_rows(fx))
     return s.select(

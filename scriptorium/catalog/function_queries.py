@@ -57,7 +57,8 @@ def _(fx):
     return _normal_pairs(fx).select("doc_id", "line_number", T.char_distance(F.col("r"), F.col("p")).alias("errors"))
 
 
-@query("f4_word_edit_distance", _NORMAL + """,
+# Word distance: pairs with few shared words use single-byte codes, the rest a dynamic programme.
+_WORD_SQL = _NORMAL + """,
     -- Words that both sides share get a number, all others can never match (0 / -1).
     w as (select doc_id, line_number, list_filter(string_split(r,' '), lambda q: q<>'') a, list_filter(string_split(p,' '), lambda q: q<>'') b from n),
     s as (select *, list_intersect(a,b) shared from w),
@@ -76,9 +77,13 @@ def _(fx):
           list_transform([list_transform(range(1,len(t2)+1), lambda j: least(t2[j], case when j>4 then t2[j-4]+4 else t2[j] end))], lambda t3:
           list_transform([list_transform(range(1,len(t3)+1), lambda j: least(t3[j], case when j>8 then t3[j-8]+8 else t3[j] end))], lambda t4:
           list_transform([list_transform(range(1,len(t4)+1), lambda j: least(t4[j], case when j>16 then t4[j-16]+16 else t4[j] end))], lambda t5: t5)[1])[1])[1])[1])[1])[1]) d, len(b) m
-      from z where k>120)
-    select doc_id, line_number, cast(errors as int) errors from short
-    union all select doc_id, line_number, cast(d[m+1] as int) from long""")
+      from z where k>120),
+    word_errors as (select doc_id, line_number, cast(errors as int) errors from short
+      union all select doc_id, line_number, cast(d[m+1] as int) from long)
+"""
+
+
+@query("f4_word_edit_distance", _WORD_SQL + "select doc_id, line_number, errors from word_errors")
 def _(fx):
     left, right = T.words_of(F.col("r")), T.words_of(F.col("p"))
     return _normal_pairs(fx).select("doc_id", "line_number", T.word_distance(left, right).alias("errors"))
@@ -329,12 +334,13 @@ def _(fx):
     return fx.headings().select("doc_id", "k", F.round(c, 9).alias("confidence"))
 
 
-_IRR = "((irregularity+irregularity+fragmentation)/3e0)"
-_TS = unit("(0.50e0*red+0.20e0*sat+0.20e0*isolation+0.10e0*margin)")
-_PS = unit("(0.35e0*coalesce(ocr_conf,0e0)+0.30e0*regularity+0.20e0*density+0.15e0*(1-sat))")
-_SS = unit(f"(0.40e0*{_IRR}+0.20e0*fragmentation+0.20e0*blue+0.10e0*edge+0.10e0*dark)")
-CLASS_SQL = f"""
-    scored as (select *, {_IRR} irr, {_TS} ts, {_PS} ps, {_SS} ss from fx_evidence),
+def class_sql(source: str, irregular: str) -> str:
+    """CTEs scored, supported and classified over ``source``."""
+    ts = unit("(0.50e0*red+0.20e0*sat+0.20e0*isolation+0.10e0*margin)")
+    ps = unit("(0.35e0*coalesce(ocr_conf,0e0)+0.30e0*regularity+0.20e0*density+0.15e0*(1-sat))")
+    ss = unit(f"(0.40e0*{irregular}+0.20e0*fragmentation+0.20e0*blue+0.10e0*edge+0.10e0*dark)")
+    return f"""
+    scored as (select *, {irregular} irr, {ts} ts, {ps} ps, {ss} ss from {source}),
     supported as (select *,
         red>=0.30e0 and sat>=0.25e0 and (isolation>=0.65e0 or margin>=1e0) and ts>=0.58e0 t,
         coalesce(ocr_conf>=0.72e0 and regularity>=0.68e0 and density>=0.10e0 and red<0.18e0 and blue<0.18e0 and ps>=0.62e0, false) p,
@@ -345,6 +351,9 @@ CLASS_SQL = f"""
 """
 
 
+CLASS_SQL = class_sql("fx_evidence", "((irregularity+irregularity+fragmentation)/3e0)")
+
+
 @query("f42_evidence_scores", f"with {CLASS_SQL} select l_orderkey, l_linenumber, round(ts,9) teacher, round(ps,9) printed, round(ss,9) student from scored")
 def _(fx):
     return fx.feature_rows().select(
@@ -379,10 +388,11 @@ def _(fx):
 
 # Mark risk: features straight from the component columns, word context from l_* arithmetic.
 _PROX = unit("(1-least(x+width/2e0,1000-(x+width/2e0))/(1000*0.5e0))")
-MARK_SQL = f"""
-    m as (select *, least(1e0,greatest(1e0,contour_area)/(1000e0*1400)) area_ratio, {_PROX} margin_prox, cast(component_no%11 as int) nearby,
-        (component_no%11)/20e0 ocr_prox, component_no%11>=6 conf_near, width/cast(height as double) aspect,
-        chroma>=0.08e0 or saturation>=0.10e0 is_chroma from fx_components),
+def mark_sql(source: str) -> str:
+    """CTEs m, f, g: signals and category; ``source`` adds nearby, ocr_prox and conf_near."""
+    return f"""
+    m as (select *, least(1e0,greatest(1e0,contour_area)/(1000e0*1400)) area_ratio, {_PROX} margin_prox, width/cast(height as double) aspect,
+        chroma>=0.08e0 or saturation>=0.10e0 is_chroma from {source}),
     f as (select *, list_distinct_ordered from (select *, list_filter([
         case when is_chroma then 'chromatic_ink' end,
         case when area_ratio<=0.0015e0 and whitespace>=0.45e0 then 'small_isolated_component' end,
@@ -404,6 +414,10 @@ MARK_SQL = f"""
 """
 
 
+MARK_SQL = """
+    q as (select *, cast(component_no%11 as int) nearby, (component_no%11)/20e0 ocr_prox, component_no%11>=6 conf_near from fx_components),""" + mark_sql("q")
+
+
 def mark_rows(fx):
     near = (F.col("component_no") % 11).cast("int")
     features = F.struct(

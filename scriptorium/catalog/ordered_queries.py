@@ -300,12 +300,15 @@ _IOU14 = (
 )
 
 
-@query("w14_balanced_selection", f"""
-    with p as (select sample_id%20 dataset_id, 'paper-'||cast(floor(sample_id%340/20e0) as int) alias, cast(sample_id%7+1 as int) page, sample_id*1000+box_idx no, cast(box_idx%5+1 as int) cat,
+W14_SQL = f"""
+    p as (select sample_id%20 dataset_id, 'paper-'||cast(floor(sample_id%340/20e0) as int) alias, cast(sample_id%7+1 as int) page, sample_id*1000+box_idx no, cast(box_idx%5+1 as int) cat,
         {_C14['x']} x, {_C14['y']} y, {_C14['w']} w, {_C14['h']} h, (hx*7+hy)%100/100e0 score from fx_numbered_boxes),
-    listed as (select dataset_id, list([struct_pack(no:=no,alias:=alias,page:=page,cat:=cat,x:=x,y:=y,w:=w,h:=h)] order by cat, -score, alias, page, y, x, no) items from p group by 1),
+    listed as (select dataset_id, list([struct_pack(no:=no,alias:=alias,page:=page,cat:=cat,x:=x,y:=y,w:=w,h:=h,score:=score)] order by cat, -score, alias, page, y, x, no) items from p group by 1),
     folded as (select dataset_id, list_reduce(items, lambda acc, n: case when len(list_filter(acc, lambda k: k.cat=n[1].cat))<({_QUOTA_SQL}) and len(list_filter(acc, lambda k: k.alias=n[1].alias))<5
-        and len(list_filter(acc, lambda k: k.alias=n[1].alias and k.page=n[1].page and {_IOU14}/cast(k.w*k.h+n[1].w*n[1].h-{_IOU14} as double)>0.55e0))=0 then list_concat(acc,n) else acc end) m from listed)
+        and len(list_filter(acc, lambda k: k.alias=n[1].alias and k.page=n[1].page and {_IOU14}/cast(k.w*k.h+n[1].w*n[1].h-{_IOU14} as double)>0.55e0))=0 then list_concat(acc,n) else acc end) m from listed)"""
+
+
+@query("w14_balanced_selection", f"""with {W14_SQL}
     select dataset_id, m.no proposal_no, ['printed_candidate','student_candidate','teacher_mark_risk_candidate','mixed_uncertain_candidate','blank_answer_candidate'][m.cat] category, cast(i as int) pick_no
     from (select dataset_id, unnest(m) m, generate_subscripts(m,1) i from folded)""")
 def _(fx):
