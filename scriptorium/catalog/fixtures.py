@@ -149,11 +149,12 @@ class Fixtures:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def lines(self) -> DataFrame:
-        return (
+        numbered = (
             self.table("documents")
             .select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("p", "line"))
             .select("doc_id", "lang", "source", (F.col("p") + 1).cast("int").alias("line_number"), "line")
         )
+        return spread(numbered, "doc_id", "line_number")
 
     def pairs(self) -> DataFrame:
         n = F.col("doc_id") + F.col("line_number")
@@ -165,7 +166,7 @@ class Fixtures:
             .when(n % 3 == 1, F.replace(line, F.lit(" the "), F.lit(" ")))
             .otherwise(F.translate(line, "oOlI", "0011"))
         )
-        return spread(self.lines(), "doc_id", "line_number").select(
+        return self.lines().select(
             "doc_id", "line_number", "lang", "source", line.alias("ref_text"), prediction.alias("pred_text")
         )
 

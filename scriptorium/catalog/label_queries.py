@@ -1 +1,210 @@
-"""To be filled."""
+"""Label store L1-L4, streams T1-T2, freezing and gates E15-E22."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from scriptorium.catalog.aggregate_queries import labelled_records
+from scriptorium.catalog.join_queries import valid_saves
+from scriptorium.catalog.registry import query
+from scriptorium.plans import labels as L
+from scriptorium.session import checkpoint_dir
+from scriptorium.streaming import labels as ST
+
+ORDER = ["ts", "event_id"]
+_CURRENT = "select sample_id, event_id, evidence_type, case when is_empty then 'verified_empty' else 'annotated' end answer_status, cast(case when is_empty then 0 else 1 end as int) boxes from fx_current"
+
+
+def current(fx):
+    return L.current_labels(valid_saves(fx), ORDER)
+
+
+@query("l1_current_labels", _CURRENT)
+def _(fx):
+    return current(fx).select("sample_id", "event_id", "evidence_type", "answer_status", F.size("boxes").alias("boxes"))
+
+
+@query("l1_rejected_saves", "select event_id, 'positive_boxes' reject_reason from fx_saves where not is_empty and width<=0")
+def _(fx):
+    checked = L.validated_saves(fx.saves(), fx.label_samples())
+    return checked.where("reject_reason is not null").select("event_id", "reject_reason")
+
+
+@query("l2_version_history", """
+    with c as (select sample_id, event_id, sha256(record) fp, lag(sha256(record)) over (partition by sample_id order by ts, event_id) prev from fx_records)
+    select sample_id, event_id, fp fingerprint, prev previous_fingerprint from c where prev is null or prev<>fp""")
+def _(fx):
+    history = L.version_history(valid_saves(fx), "ts", "event_id", F.date_trunc("day", "ts"))
+    return history.select("sample_id", "event_id", "fingerprint", "previous_fingerprint")
+
+
+@query("l3_strict_geometry", """
+    select event_id, case when event_id%4 in (0,3) then cast(case when event_id%4=3 then 0 else 1 end as int) end boxes from fx_saves""")
+def _(fx):
+    # Event id mod 4: integer box, text coordinate, floating coordinate, empty list.
+    def rectangle(x):
+        return F.concat(F.lit('[{"bbox": {"x": '), x, F.lit(', "y": 3, "width": 10, "height": 20}}]'))
+
+    x = F.col("boxes")[0]["x"]
+    number = F.coalesce(x, F.lit(7)).cast("string")
+    kind = F.col("event_id") % 4
+    raw = (
+        F.when(kind == 0, rectangle(number)).when(kind == 1, rectangle(F.concat(F.lit('"'), number, F.lit('"'))))
+        .when(kind == 2, rectangle(F.concat(number, F.lit(".5")))).otherwise(F.lit("[]"))
+    )
+    return fx.saves().withColumn("boxes", F.when(F.size("boxes") > 0, F.col("boxes"))).select(
+        "event_id", L.strict_boxes(raw).alias("b")
+    ).select("event_id", F.when(F.col("b").isNotNull(), F.size("b")).alias("boxes"))
+
+
+_APPROVALS = """
+    ap as (select 's'||(event_id%3) session_id, sample_id, event_id, sha256(record) fp, row_number() over (partition by event_id%3, sample_id order by ts desc, event_id desc) rn from fx_records)"""
+
+
+def ledger(fx):
+    return L.with_record(valid_saves(fx)).select(
+        F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string")).alias("session_id"), "sample_id", "event_id", "ts", F.col("fingerprint").alias("approved_fingerprint")
+    )
+
+
+@query("l4_approvals", f"with {_APPROVALS} select session_id, sample_id, event_id, fp approved_fingerprint from ap where rn=1")
+def _(fx):
+    return L.approvals(ledger(fx), ORDER).drop("ts")
+
+
+# Streams ------------------------------------------------------------------------------------------
+
+
+def run_stream(fx, on_progress=None):
+    """Write the saves as JSON, run the label stream over them once, return its log folder."""
+    root = f"{checkpoint_dir(fx.spark)}/stream-{uuid.uuid4().hex}"
+    box = F.col("boxes")[0]
+    fields = [F.concat(F.lit(f'"{n}":'), box[n].cast("string")) for n in ("x", "y", "width", "height")]
+    text = F.when(F.size("boxes") == 0, "[]").otherwise(F.concat(F.lit('[{"bbox":{'), F.concat_ws(",", *fields), F.lit("}}]")))
+    saves = fx.saves().withColumn("boxes", F.when(F.size("boxes") > 0, F.col("boxes")).otherwise(F.array().cast(fx.saves().schema["boxes"].dataType)))
+    saves.withColumn("answer_regions", text).drop("boxes").repartition(6, "event_id").write.json(f"{root}/saves")
+    stream = ST.start_label_stream(
+        fx.spark, f"{root}/saves", fx.label_samples(), log=f"{root}/log", quarantine=f"{root}/quarantine", checkpoint=f"{root}/checkpoint",
+        on_progress=on_progress, files_per_batch=3, available_now=True,
+    )
+    stream.awaitTermination()
+    return f"{root}/log"
+
+
+@query("t1_label_stream", _CURRENT)
+def _(fx):
+    log = run_stream(fx)
+    return ST.read_current(fx.spark, log).select("sample_id", "event_id", "evidence_type", "answer_status", F.size("boxes").alias("boxes"))
+
+
+@query("t2_live_progress", """
+    with s as (select distinct concat('sample_', lpad(cast(user_id as varchar),6,'0')) sample_id from events)
+    select count(c.evidence_type) completed, count(*) total, count(c.evidence_type)=count(*) ready from s left join fx_current c using (sample_id)""")
+def _(fx):
+    log = run_stream(fx)
+    return L.progress(fx.label_samples(), ST.read_current(fx.spark, log)).select("completed", "total", "ready")
+
+
+# Freezing and gates ---------------------------------------------------------------------------------
+
+_DS = "'ds'||(cast(substr(sample_id,8) as int)%10)"
+_FROZEN = f"""
+    d as (select {_DS} dataset_id, r.* from fx_records r where event_id in (select event_id from fx_current)),
+    f as (select dataset_id, sha256('{{"annotations":['||string_agg(record,',' order by sample_id)||'],"schema_version":"1.0"}}') fingerprint, count(*) annotation_count,
+      count(*) filter (where not is_empty) human_answer_box_count, count(*) filter (where is_empty) verified_empty_count from d group by 1)"""
+
+
+@query("e15_freeze_labels", f"with {_FROZEN} select * from f")
+def _(fx):
+    _, prov = L.freeze_labels(labelled_records(fx).drop("record", "fingerprint"), ["dataset_id"])
+    return prov.select("dataset_id", "fingerprint", "annotation_count", "human_answer_box_count", "verified_empty_count")
+
+
+@query("e15_verify_frozen", f"with {_FROZEN} select distinct dataset_id from d where evidence_type='unknown' and sample_id in (select min(sample_id) from d group by dataset_id)")
+def _(fx):
+    from pyspark.sql import Window
+
+    rows = labelled_records(fx).drop("record", "fingerprint")
+    _, recorded = L.freeze_labels(rows, ["dataset_id"])
+    # Tamper with the first label of every dataset, where it is an unknown one.
+    first = F.col("sample_id") == F.min("sample_id").over(Window.partitionBy("dataset_id"))
+    tampered = rows.withColumn("first", first).withColumn(
+        "evidence_type", F.when(F.col("first") & (F.col("evidence_type") == "unknown"), "printed").otherwise(F.col("evidence_type"))
+    ).drop("first")
+    return L.verify_frozen(tampered, recorded, ["dataset_id"]).select("dataset_id")
+
+
+@query("e16_validate_labels", """
+    with s as (select distinct user_id, concat('sample_', lpad(cast(user_id as varchar),6,'0')) sample_id from events)
+    select sample_id, 'unexpected' problem from fx_current where sample_id not in (select sample_id from s where user_id%9<>0)
+    union all select sample_id, 'missing' from s where user_id%9<>0 and sample_id not in (select sample_id from fx_current)
+    union all select c.sample_id, 'box_outside_crop' from fx_current c join s using (sample_id) where user_id%9<>0 and not is_empty and (x+width>200 or y+20>600)
+    union all select sample_id, 'image_missing' from s where user_id%9<>0 and user_id%5=0""")
+def _(fx):
+    user = F.substring("sample_id", 8, 6).cast("int")
+    samples = fx.label_samples().where(user % 9 != 0).withColumn("crop_width", F.lit(200)).withColumn("crop_height", F.lit(600))
+    return L.validate_labels(samples, current(fx), samples.where(user % 5 != 0))
+
+
+@query("e17_freeze_ground_truth", """
+    with t as (select conv_id, turn, 'c'||conv_id||'_'||turn sample_id, case when turn%3=0 then case conv_id%4 when 0 then 'None' when 1 then '  ' when 2 then 'EMPTY' else text end when turn%3=1 and conv_id%7=0 then ' ' else text end entered, turn%3=0 is_empty from conversations),
+    v as (select *, case when is_empty and length(trim(entered))>0 and lower(trim(entered)) not in ('empty','none','no student-answer text','no student answer text') then 'unexpected_text_in_verified_empty'
+      when not is_empty and length(trim(entered))=0 then 'pending_blank_transcription' end rule from t)
+    select sample_id, case when rule is null then case when is_empty then 'verified_empty' else 'verified' end else rule end outcome, case when rule is null then md5(case when is_empty then '' else entered end) end digest from v""")
+def _(fx):
+    c = fx.table("conversations").withColumn("sample_id", F.concat(F.lit("c"), F.col("conv_id"), F.lit("_"), F.col("turn")))
+    entered = (
+        F.when(F.col("turn") % 3 == 0, F.when(F.col("conv_id") % 4 == 0, "None").when(F.col("conv_id") % 4 == 1, "  ").when(F.col("conv_id") % 4 == 2, "EMPTY").otherwise(F.col("text")))
+        .when((F.col("turn") % 3 == 1) & (F.col("conv_id") % 7 == 0), " ").otherwise(F.col("text"))
+    )
+    samples = c.select("sample_id", F.lit("").alias("notes"))
+    frozen, problems = L.freeze_ground_truth(
+        samples, c.select("sample_id", entered.alias("entered_text")), c.where("turn % 3 = 0").select("sample_id"),
+        c.where("turn % 2 = 0").select("sample_id", F.col("role").alias("note")),
+    )
+    good = frozen.select("sample_id", F.col("ground_truth_status").alias("outcome"), F.md5(F.col("ground_truth_text").cast("binary")).alias("digest"))
+    return good.unionByName(problems.select("sample_id", F.col("rule").alias("outcome"), F.lit(None).cast("string").alias("digest")))
+
+
+@query("e18_reverification_status", f"""
+    with {_APPROVALS}, s as (select distinct concat('sample_', lpad(cast(user_id as varchar),6,'0')) sample_id from events where user_id%10<>0),
+    a as (select * from ap where rn=1 and session_id='s1'), c as (select r.sample_id, sha256(record) fp from fx_records r join fx_current f on r.event_id=f.event_id)
+    select coalesce(s.sample_id,a.sample_id) sample_id, case when s.sample_id is null then 'unknown_sample' when a.fp is null then 'missing' when a.fp=c.fp then 'valid' else 'changed' end status
+    from s full outer join a on s.sample_id=a.sample_id left join c on c.sample_id=coalesce(s.sample_id,a.sample_id)""")
+def _(fx):
+    samples = fx.label_samples().where(F.substring("sample_id", 8, 6).cast("int") % 10 != 0)
+    approved = L.approvals(ledger(fx), ORDER).where("session_id = 's1'")
+    return L.reverification_status(samples, L.with_record(current(fx)), approved)
+
+
+@query("e19_integrity_gate", """
+    select * from (select 'documents' as name, cast((select count(*) from documents) as varchar) observed, '1' expected
+      union all select 'languages', cast((select count(distinct lang) from documents) as varchar), '4' union all select 'absent', null, 'x')
+    where observed is distinct from expected""")
+def _(fx):
+    d = fx.table("documents").agg(F.count(F.lit(1)).cast("string").alias("documents"), F.countDistinct("lang").cast("string").alias("languages"))
+    observed = d.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("observed")) for n in ("documents", "languages")])).alias("o")).select("o.*")
+    return L.compare_constants(observed, {"documents": "1", "languages": "4", "absent": "x"})
+
+
+@query("e20_frozen_benchmark_gate", """
+    with s as (select lang, doc_id, case when doc_id%97=0 and lang='fr' then 'pending' else 'verified' end st, source from documents),
+    g as (select lang, count(*) sample_count, count(*) filter (where st='pending') pending_count,
+      sha256('{"fingerprint_version":"ocr-ground-truth-v1","samples":['||string_agg('{"sample_id":"d'||lpad(cast(doc_id as varchar),8,'0')||'","status":"'||st||'","student_text":"'||source||'"}', ',' order by doc_id)||']}') fp from s group by 1)
+    select lang, sample_count, pending_count, fp fingerprint, case when pending_count>0 then 'not_ready' else 'fingerprint_mismatch' end blocked_by from g""")
+def _(fx):
+    samples = fx.table("documents").select(
+        "lang", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("sample_id"),
+        F.when((F.col("doc_id") % 97 == 0) & (F.col("lang") == "fr"), "pending").otherwise("verified").alias("ground_truth_status"), F.col("source").alias("ground_truth_text"),
+    )
+    return L.frozen_benchmark_gate(samples, ["lang"], F.col("sample_count"), F.lit("0" * 64))
+
+
+@query("e22_labelled_datasets", "select distinct lang dataset_id from documents where lang in (select case when user_id%2=0 then 'en' else 'xx' end from events where event_type='click')")
+def _(fx):
+    labels = fx.table("events").where("event_type = 'click'").select(F.when(F.col("user_id") % 2 == 0, "en").otherwise("xx").alias("dataset_id"))
+    return L.labelled_datasets(fx.table("documents").select(F.col("lang").alias("dataset_id")).distinct(), labels)
+
+

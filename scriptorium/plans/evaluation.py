@@ -14,6 +14,7 @@ from scriptorium.operators.joins import band_join, coverage
 from scriptorium.operators.matching import match_boxes, match_in_truth_order
 from scriptorium.operators.sequences import lcs_length
 from scriptorium.operators.summaries import exact_medians, join_summaries, ratio, ratio_or
+from scriptorium.session import cut_lineage
 
 READY = ("verified", "verified_empty")
 
@@ -40,20 +41,27 @@ def summarize_ocr(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Counts, means and exact medians; undefined rates drop out of the averages."""
     keys = list(keys)
     ok = F.col("status") == "success"
-    values = {
-        "cer": F.when(ok, F.col("cer.rate")),
-        "wer": F.when(ok, F.col("wer.rate")),
-        "duration": F.when(ok, F.col("duration_ms")),
-        "preprocessing": F.when(ok, F.col("preprocessing_ms")),
-    }
-    counts = scored.groupBy(*keys).agg(
+    # Edit distances are expensive and the summary reads them several times: store the rates.
+    rates = cut_lineage(
+        scored.select(
+            *keys,
+            ok.alias("ok"),
+            (ok & (F.col("prediction") == "")).alias("empty"),
+            F.when(ok, F.col("cer.rate")).alias("cer"),
+            F.when(ok, F.col("wer.rate")).alias("wer"),
+            F.when(ok, F.col("duration_ms")).alias("duration"),
+            F.when(ok, F.col("preprocessing_ms")).alias("preprocessing"),
+        )
+    )
+    values = ["cer", "wer", "duration", "preprocessing"]
+    counts = rates.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_samples"),
-        F.count_if(ok).alias("successful_samples"),
-        F.count_if(~ok).alias("failed_samples"),
-        *[F.avg(v).alias(f"mean_{n}") for n, v in values.items()],
-        F.count_if(ok & (F.col("prediction") == "")).alias("empty_successful_predictions"),
+        F.count_if("ok").alias("successful_samples"),
+        F.count_if(~F.col("ok")).alias("failed_samples"),
+        *[F.avg(v).alias(f"mean_{v}") for v in values],
+        F.count_if("empty").alias("empty_successful_predictions"),
     )
-    medians = exact_medians(scored, keys, {f"median_{n}": v for n, v in values.items()})
+    medians = exact_medians(rates, keys, {f"median_{v}": F.col(v) for v in values})
     return join_summaries(counts, medians, keys)
 
 
@@ -309,9 +317,9 @@ def evaluate_evidence(samples: DataFrame, annotations: DataFrame, human: DataFra
     predicted = relative.select(
         "sample_id", F.col("answer_no").alias("predicted_idx"), F.col("relative_box").alias("predicted_box")
     )
-    matches = match_boxes(human, predicted, ["sample_id"], [0.0, 0.25, 0.5])
+    matches = cut_lineage(match_boxes(human, predicted, ["sample_id"], [0.0, 0.25, 0.5]))
     labels = annotations.join(samples.select("sample_id", "categories"), "sample_id")
-    rows = sample_rows(labels, classes, human, predicted, matches)
+    rows = cut_lineage(sample_rows(labels, classes, human, predicted, matches))
     cells = confusion_cells(rows.select(F.col("evidence_type").alias("human"), F.col("predicted_class").alias("predicted")))
     return {
         "coverage": coverage(samples, annotations, "sample_id"),

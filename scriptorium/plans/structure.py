@@ -14,6 +14,7 @@ from scriptorium.functions import text as T
 from scriptorium.operators.ranking import number_by_row
 from scriptorium.operators.rules import page_sequence_ok
 from scriptorium.operators.sequences import increasing_chain, with_sequence_confidence
+from scriptorium.session import cut_lineage
 
 PAGE = ["paper_id", "page_number"]
 LINE = ["key_block", "key_paragraph", "key_line"]
@@ -189,9 +190,18 @@ def detect_markers(pages: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def select_markers(
-    candidates: DataFrame, expected: Sequence[int] = EXPECTED, minimum_confidence: float = 0.62
+    candidates: DataFrame,
+    expected: Sequence[int] = EXPECTED,
+    minimum_confidence: float = 0.62,
+    stored: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(accepted markers, rejected candidates, duplicate numbers)."""
+    """(accepted markers, rejected candidates, duplicate numbers).
+
+    Candidates are a few rows per page but cost a scan of all words, so they are stored once
+    before the three results read them.
+    """
+    if not stored:
+        candidates = cut_lineage(candidates)
     key = ["paper_id", "candidate_no"]
     chain = increasing_chain(candidates, expected, minimum_confidence)
     accepted = with_sequence_confidence(candidates.join(chain, key)).withColumn(
@@ -265,8 +275,9 @@ def exam_structure(
     checked = page_sequence_ok(pages, ["paper_id"], "page_number")
     usable = checked.where("pages_ok").select("paper_id")
     pages = pages.join(usable, "paper_id", "left_semi")
-    candidates = detect_markers(pages, words)
-    markers, rejected, duplicates = select_markers(candidates, expected, minimum_confidence)
+    candidates = cut_lineage(detect_markers(pages, words))
+    markers, rejected, duplicates = select_markers(candidates, expected, minimum_confidence, stored=True)
+    markers = cut_lineage(markers)
     regions, violations = segment_regions(pages, markers)
     return {
         "pages": pages,
