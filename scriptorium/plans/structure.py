@@ -64,10 +64,27 @@ def layout_text(words: DataFrame) -> DataFrame:
     )
 
 
+def _one_edit_pattern(word: str) -> str:
+    """Pattern for ``word`` with at most one letter changed, added or left out.
+
+    A keyword passes the similarity rule exactly when it is that close. Other characters may
+    stand between the letters; the pattern only has to let every real candidate through.
+    """
+    gap, letter = r"[^\p{L}]*", r"\p{L}"
+    forms = []
+    for i in range(len(word)):
+        forms.append([*word[:i], letter, *word[i + 1:]])
+        forms.append([*word[:i], *word[i + 1:]])
+    forms.extend([*word[:i], letter, *word[i:]] for i in range(len(word) + 1))
+    choices = "|".join(gap.join(f) for f in forms)
+    return rf"(?iu)^{gap}(?:{choices})(?:[^\p{{L}}].*)?$"
+
+
 def _keyword_like(text):
+    """Cheap pattern first; the full rule runs on the few words that pass it."""
     compact = T.compact_split(text)
     keyword = F.coalesce(compact["keyword"], T.letters(text))
-    return T.keyword_similarity(keyword) >= 0.75
+    return text.rlike(_one_edit_pattern(T.KEYWORD)) & (T.keyword_similarity(keyword) >= 0.75)
 
 
 def heading_lines(words: DataFrame) -> DataFrame:
