@@ -197,8 +197,9 @@ def detect_markers(pages: DataFrame, words: DataFrame) -> DataFrame:
             F.transform("used", lambda w: w["word_index"]).alias("source_word_indices"),
         )
     )
+    # A few rows per page that cost a scan of all words: stored once, then numbered.
     return number_by_row(
-        candidates,
+        cut_lineage(candidates),
         ["paper_id"],
         "page_number",
         [F.col("marker_y"), F.col("marker_x"), F.col("test_number"), F.col("source_word_indices")],
@@ -207,18 +208,13 @@ def detect_markers(pages: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def select_markers(
-    candidates: DataFrame,
-    expected: Sequence[int] = EXPECTED,
-    minimum_confidence: float = 0.62,
-    stored: bool = False,
+    candidates: DataFrame, expected: Sequence[int] = EXPECTED, minimum_confidence: float = 0.62
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(accepted markers, rejected candidates, duplicate numbers).
 
-    Candidates are a few rows per page but cost a scan of all words, so they are stored once
-    before the three results read them.
+    The candidates are read three times; pass a stored table when they are costly to derive
+    (``detect_markers`` stores its rows).
     """
-    if not stored:
-        candidates = cut_lineage(candidates)
     key = ["paper_id", "candidate_no"]
     chain = increasing_chain(candidates, expected, minimum_confidence)
     accepted = with_sequence_confidence(candidates.join(chain, key)).withColumn(
@@ -292,8 +288,8 @@ def exam_structure(
     checked = page_sequence_ok(pages, ["paper_id"], "page_number")
     usable = checked.where("pages_ok").select("paper_id")
     pages = pages.join(usable, "paper_id", "left_semi")
-    candidates = cut_lineage(detect_markers(pages, words))
-    markers, rejected, duplicates = select_markers(candidates, expected, minimum_confidence, stored=True)
+    candidates = detect_markers(pages, words)
+    markers, rejected, duplicates = select_markers(candidates, expected, minimum_confidence)
     markers = cut_lineage(markers)
     regions, violations = segment_regions(pages, markers)
     return {
