@@ -30,9 +30,12 @@ def _store(df: DataFrame, root: str, batch_id: int) -> None:
 
 
 def apply_batch(saves: DataFrame, batch_id: int, samples: DataFrame, log: str, quarantine: str) -> None:
-    checked = validated_saves(saves, samples)
-    _store(checked.where(F.col("reject_reason").isNull()).drop("reject_reason"), log, batch_id)
-    _store(checked.where(F.col("reject_reason").isNotNull()), quarantine, batch_id)
+    checked = validated_saves(saves, samples).persist()
+    try:
+        _store(checked.where(F.col("reject_reason").isNull()).drop("reject_reason"), log, batch_id)
+        _store(checked.where(F.col("reject_reason").isNotNull()), quarantine, batch_id)
+    finally:
+        checked.unpersist()
 
 
 def read_current(spark: SparkSession, log: str) -> DataFrame:
