@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality, token_files
+from scriptorium.llm import byte_bpe, decontaminate, licenses, line_dedup, ngram_join, order_minhash, quality, token_files, toxicity
 from scriptorium.llm.common import table
 
 
@@ -22,16 +22,33 @@ def op2_token_files(spark, sf_dir):
     return token_files.digests(token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontamination(spark, sf_dir):
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_license_scan(spark, sf_dir):
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op7_line_dedup(spark, sf_dir):
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_order_minhash(spark, sf_dir):
+    out = order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+    own, edited = F.col("signature"), F.col("edited_signature")
+    return out.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), order_minhash.text_of(own).alias("fingerprint"), order_minhash.text_of(edited).alias("edited_fingerprint"),
+        order_minhash.likeness(own, edited).alias("near_edited"), order_minhash.likeness(own, F.col("next_signature")).alias("near_next"),
+    )
+
+
 def op9_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("tie")
 
@@ -44,9 +61,10 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(byte_bpe.decode(ids, path, public_tokenizers.PATTERN))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_token_files, op4_decontamination, op7_line_dedup, op9_quality, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_token_files, op3_toxicity, op4_decontamination, op6_license_scan, op7_line_dedup, op8_order_minhash, op9_quality, op10_byte_bpe)}
 
 ORACLES = {
+    "op6_license_scan": licenses.oracle(),
     "op7_line_dedup": line_dedup.ORACLE + """
 select d.doc_id, coalesce(r.n, 0) as n_lines, coalesce(g.n, 0) as n_removed_lines, sha256(coalesce(kept.text, '')) as kept_sha256
 from documents d left join (select doc_id, count(*) as n from r group by all) r using (doc_id)
