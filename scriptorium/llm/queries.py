@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, decontaminate, licenses, line_dedup, ngram_join, order_minhash, quality, token_files, toxicity
+from scriptorium.llm import byte_bpe, decontaminate, licenses, line_dedup, ngram_join, order_minhash, quality, suffix_dedup, token_files, toxicity
 from scriptorium.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op4_decontamination(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(suffix_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op6_license_scan(spark, sf_dir):
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
 
@@ -61,7 +65,7 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(byte_bpe.decode(ids, path, public_tokenizers.PATTERN))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_token_files, op3_toxicity, op4_decontamination, op6_license_scan, op7_line_dedup, op8_order_minhash, op9_quality, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_token_files, op3_toxicity, op4_decontamination, op5_suffix_dedup, op6_license_scan, op7_line_dedup, op8_order_minhash, op9_quality, op10_byte_bpe)}
 
 ORACLES = {
     "op6_license_scan": licenses.oracle(),

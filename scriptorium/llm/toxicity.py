@@ -46,9 +46,11 @@ SWAP = {t: row[(i + 1) % len(row)] for row in IDENTITY for i, t in enumerate(row
 
 def bag(text: Column) -> Column:
     """Distinct words, and distinct beginnings (marked by a star) of words longer than those."""
+    def beginnings(w, n):
+        return F.transform(F.filter(w, lambda x: F.char_length(x) > n), lambda x: F.concat(F.substring(x, 1, n), F.lit("*")))
+
     def make(w):
-        starts = [F.transform(F.filter(w, lambda x, n=n: F.char_length(x) > n), lambda x, n=n: F.concat(F.substring(x, 1, n), F.lit("*"))) for n in STARTS]
-        return F.array_distinct(F.concat(w, *starts))
+        return F.array_distinct(F.concat(w, *[beginnings(w, n) for n in STARTS]))
 
     return bind(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)), make)
 
