@@ -12,8 +12,9 @@ the input, so the result does not depend on the order of deletion.
 No pair of occurrences is formed: groups keep their smallest place with partial aggregation,
 so a passage in a third of all rows costs one row per task.
 
-Null texts stay null, empty ones empty. Repeated rows of one doc_id count as one row. Other
-columns pass through.
+Null texts stay null, empty ones empty. doc_id is a key: windows that repeat at one place of one
+doc_id are one, so repeated rows are cut alike. A row without doc_id is left whole. Other
+columns pass through; ones named n_lines or n_removed_lines are replaced.
 """
 
 from __future__ import annotations
@@ -54,7 +55,9 @@ def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     """``docs`` with ``text`` without later repeats, and n_lines, n_removed_lines."""
-    held = docs.join(repeated_lines(docs, run).withColumnRenamed("starts", "_starts"), "doc_id", "left")
+    others = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
+    held = docs.select("doc_id", "text", F.struct(*others).alias("_row"))
+    held = held.join(repeated_lines(docs, run).withColumnRenamed("starts", "_starts"), "doc_id", "left")
     parts = F.split("text", "\n")
     held = held.withColumn("_parts", parts)
     numbered = bind(
@@ -67,7 +70,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     marks = bind(F.map_from_arrays("_gone", "_gone"), lambda m: F.filter("_parts", lambda x, i: F.element_at(m, i).isNull()))
     out = held.withColumn("text", F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.concat_ws("\n", marks)))
     out = out.withColumn("n_lines", F.coalesce(F.size("_real"), F.lit(0)).cast("long")).withColumn("n_removed_lines", F.size("_gone").cast("long"))
-    return out.select(*docs.columns, "n_lines", "n_removed_lines")
+    return out.select(*["text" if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in others], "n_lines", "n_removed_lines")
 
 
 ORACLE = """

@@ -56,7 +56,7 @@ def bag(text: Column) -> Column:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
 def choose(train: DataFrame, features: int = FEATURES) -> list[str]:
