@@ -363,7 +363,7 @@ def _(fx):
     with d as (select 'ds'||(cast(substr(sample_id,8) as int)%10) dataset_id, r.* from fx_records r where event_id in (select event_id from fx_current))
     select dataset_id, sha256('{"annotations":['||string_agg(record,',' order by sample_id)||'],"schema_version":"1.0"}') fingerprint, count(*) record_count from d group by 1""")
 def _(fx):
-    return P.store_fingerprint(labelled_records(fx), ["dataset_id"], "sample_id", "record").drop("form")
+    return P.canonical_fingerprint(labelled_records(fx), ["dataset_id"], "sample_id", "record")
 
 
 def labelled_records(fx):
@@ -372,9 +372,10 @@ def labelled_records(fx):
 
 
 @query("a20_tree_fingerprint", """
-    with h as (select source, substr(sha256(cast(doc_id as varchar)),1,3) leaf, doc_id, sha256(text) h from documents),
-    l as (select source, leaf, sha256(string_agg(h,'' order by doc_id)) lh from h group by all)
-    select source, sha256(string_agg(lh,'' order by leaf)) fingerprint from l group by 1""")
+    with h as (select source, substr(sha256(cast(doc_id as varchar)),1,10) a, doc_id, sha256(text) h from documents),
+    t10 as (select source, a, sha256(string_agg(h,'' order by doc_id)) h from h group by 1, 2), t7 as (select source, substr(a,1,7) b, sha256(string_agg(h,'' order by a)) h from t10 group by 1, 2),
+    t4 as (select source, substr(b,1,4) c, sha256(string_agg(h,'' order by b)) h from t7 group by 1, 2), t2 as (select source, substr(c,1,2) d, sha256(string_agg(h,'' order by c)) h from t4 group by 1, 2)
+    select source, sha256(string_agg(h,'' order by d)) fingerprint from t2 group by 1""")
 def _(fx):
     return P.tree_fingerprint(fx.table("documents").select("source", "doc_id", "text"), ["source"], "doc_id", "text")
 
@@ -388,8 +389,10 @@ def _(fx):
 
 
 @query("a22_corpus_fingerprint", """
-    with h as (select substr(sha256(url),1,3) leaf, url, sha256(html) h from pages), l as (select leaf, sha256(string_agg(h,'' order by url)) lh from h group by 1)
-    select 'corpus' corpus, sha256(string_agg(lh,'' order by leaf)) fingerprint from l""")
+    with h as (select substr(sha256(url),1,10) a, url, sha256(html) h from pages), t10 as (select a, sha256(string_agg(h,'' order by url)) h from h group by 1),
+    t7 as (select substr(a,1,7) b, sha256(string_agg(h,'' order by a)) h from t10 group by 1), t4 as (select substr(b,1,4) c, sha256(string_agg(h,'' order by b)) h from t7 group by 1),
+    t2 as (select substr(c,1,2) d, sha256(string_agg(h,'' order by c)) h from t4 group by 1)
+    select 'corpus' corpus, sha256(string_agg(h,'' order by d)) fingerprint from t2""")
 def _(fx):
     return P.tree_fingerprint(fx.table("pages").withColumn("corpus", F.lit("corpus")), ["corpus"], "url", "html")
 

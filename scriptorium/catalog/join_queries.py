@@ -121,11 +121,11 @@ def isolated(fx):
     with c as (select paper_id, page_number, component_no, x+width/2e0 px, y+height/2e0 py from fx_components),
     w as (select paper_id, page_number, confidence, x+width/2e0 wx, y+height/2e0 wy from fx_words),
     d as (select c.paper_id, c.page_number, component_no, confidence, sqrt((px-wx)*(px-wx)+(py-wy)*(py-wy)) d from c left join w on c.paper_id=w.paper_id and c.page_number=w.page_number)
-    select paper_id, page_number, component_no, round(least(500e0,coalesce(min(d),500e0)),6) nearest_distance, cast(count(*) filter (where d<=180) as int) nearby_words,
+    select paper_id, page_number, component_no, round(greatest(0e0,1-coalesce(min(d),500e0)/500e0),6) ocr_proximity, cast(count(*) filter (where d<=180) as int) nearby_words,
       coalesce(bool_or(confidence>=0.78e0) filter (where d<=180), false) confident_nearby from d group by all""")
 def _(fx):
     key = [*PAGE, "component_no"]
-    return P.word_proximity(fx.components(), fx.words(), key).withColumn("nearest_distance", F.round("nearest_distance", 6))
+    return P.word_proximity(fx.components(), fx.words(), key).withColumn("ocr_proximity", F.round("ocr_proximity", 6))
 
 
 @query("j8_guide_overlap", f"""

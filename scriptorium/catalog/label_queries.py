@@ -41,18 +41,20 @@ def _(fx):
 
 
 @query("l3_strict_geometry", """
-    select event_id, case when event_id%4 in (0,3) then cast(case when event_id%4=3 then 0 else 1 end as int) end boxes from fx_saves""")
+    select event_id, cast(case event_id%8 when 0 then 1 when 3 then 0 when 5 then 1 end as int) boxes from fx_saves""")
 def _(fx):
-    # Event id mod 4: integer box, text coordinate, floating coordinate, empty list.
+    # Event id mod 8: integer box, text coordinate, floating coordinate, empty list, spaced digits, spaced tokens, repeated field, beyond 32 bits.
     def rectangle(x):
         return F.concat(F.lit('[{"bbox": {"x": '), x, F.lit(', "y": 3, "width": 10, "height": 20}}]'))
 
     x = F.col("boxes")[0]["x"]
     number = F.coalesce(x, F.lit(7)).cast("string")
-    kind = F.col("event_id") % 4
+    kind = F.col("event_id") % 8
     raw = (
         F.when(kind == 0, rectangle(number)).when(kind == 1, rectangle(F.concat(F.lit('"'), number, F.lit('"'))))
-        .when(kind == 2, rectangle(F.concat(number, F.lit(".5")))).otherwise(F.lit("[]"))
+        .when(kind == 2, rectangle(F.concat(number, F.lit(".5")))).when(kind == 3, F.lit("[]"))
+        .when(kind == 4, rectangle(F.concat(number, F.lit(" 2")))).when(kind == 5, rectangle(F.concat(F.lit("  "), number, F.lit("\n"))))
+        .when(kind == 6, rectangle(F.concat(number, F.lit(', "x": 1')))).otherwise(rectangle(F.lit("99999999999")))
     )
     return fx.saves().withColumn("boxes", F.when(F.size("boxes") > 0, F.col("boxes"))).select(
         "event_id", L.strict_boxes(raw).alias("b")

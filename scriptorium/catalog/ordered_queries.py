@@ -125,7 +125,7 @@ MERGE_SQL = _guide_box_sql() + """,
         then list_concat(acc[1:len(acc)-1],[struct_pack(x:=least(acc[len(acc)].x,n[1].x), y:=least(acc[len(acc)].y,n[1].y), r:=greatest(acc[len(acc)].r,n[1].r), b:=greatest(acc[len(acc)].b,n[1].b),
           c:=greatest(acc[len(acc)].c,n[1].c), idx:=list_sort(list_distinct(list_concat(acc[len(acc)].idx,n[1].idx))))])
         else list_concat(acc,n) end) merged from listed),
-    merged as (select paper_id, unnest(merged) m from folded)"""
+    merged as (select paper_id, unnest(merged) m, unnest(range(len(merged))) opened from folded)"""
 
 
 @query("w8_merge_touching", f"with {MERGE_SQL} select paper_id, cast(m.x as int) x, cast(m.y as int) y, cast(m.r-m.x as int) width, cast(m.b-m.y as int) height, m.c confidence, array_to_string(m.idx,',') students from merged")

@@ -145,7 +145,7 @@ def _(fx):
     )
 
 
-@query("e6_answer_regions", f"""with {MERGE_SQL} select paper_id, cast(row_number() over (partition by paper_id order by m.y, m.x, m.idx)-1 as int) answer_no, cast(m.x as int) x, cast(m.y as int) y, cast(m.r-m.x as int) width,
+@query("e6_answer_regions", f"""with {MERGE_SQL} select paper_id, cast(opened as int) answer_no, cast(m.x as int) x, cast(m.y as int) y, cast(m.r-m.x as int) width,
       cast(m.b-m.y as int) height, m.c confidence, array_to_string(m.idx,',') students from merged""")
 def _(fx):
     a = E.answer_regions(fx.guide_regions(), fx.guides(), fx.region_evidence())

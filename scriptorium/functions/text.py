@@ -223,9 +223,9 @@ def detection_strategy(keyword: Column, numeric_confidence: Column, compact: Col
 
 
 def append_note(existing: Column, note: Column) -> Column:
-    """Add a note line once."""
+    """Add a note line once; a missing text becomes the note, a missing note changes nothing."""
     return (
-        F.when(F.array_contains(F.split(existing, "\n"), note), existing)
-        .when(F.length(existing) == 0, note)
+        F.when(note.isNull() | F.array_contains(F.split(existing, "\n"), note), existing)
+        .when(existing.isNull() | (F.length(existing) == 0), note)
         .otherwise(F.concat(existing, F.lit("\n"), note))
     )

@@ -43,63 +43,49 @@ ANNOTATION_ENVELOPE = ('{"annotations":[', '],"schema_version":"1.0"}')
 GROUND_TRUTH_ENVELOPE = ('{"fingerprint_version":"ocr-ground-truth-v1","samples":[', "]}")
 
 
-def store_fingerprint(
-    records: DataFrame,
-    keys: Sequence[str],
-    record_id: str,
-    record: str,
-    envelope: tuple[str, str] = ANNOTATION_ENVELOPE,
-    max_bytes: int = 64 << 20,
-    leaf_digits: int = 3,
+def canonical_fingerprint(
+    records: DataFrame, keys: Sequence[str], record_id: str, record: str, envelope: tuple[str, str] = ANNOTATION_ENVELOPE
 ) -> DataFrame:
-    """One fingerprint per dataset, with the number of records.
+    """Hash of one JSON document per dataset, with the number of records.
 
-    The canonical form is the hash of a single JSON document and so needs the whole dataset
-    in one string. That is done for datasets proven smaller than ``max_bytes``; larger ones
-    get a hash tree over the record fingerprints (``form`` says which). Leaves are split by a
-    hash of the record id, so they stay even whatever the ids look like.
+    The document is a single string by definition of this form, so it suits label sets that
+    people enter. For sets of any size call ``tree_fingerprint``; the choice is the caller's.
     """
-    keys = list(keys)
-    sizes = records.groupBy(*keys).agg(
-        F.sum(F.octet_length(record) + 1).alias("bytes"), F.count(F.lit(1)).alias("record_count")
-    )
-    sized = records.select(*keys, F.col(record_id).alias("_id"), F.col(record).alias("_rec")).join(
-        sizes.withColumn("_small", F.col("bytes") <= max_bytes).select(*keys, "_small"), keys
-    )
     document = F.concat(
         F.lit(envelope[0]),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_id", "_rec"))), lambda r: r["_rec"]), ","),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(record_id).alias("_id"), F.col(record).alias("_rec")))), lambda r: r["_rec"]), ","),
         F.lit(envelope[1]),
     )
-    small = sized.where("_small").groupBy(*keys).agg(F.sha2(document, 256).alias("fingerprint"))
-    tree = tree_fingerprint(sized.where(~F.col("_small")), keys, "_id", "_rec", leaf_digits)
-    both = small.withColumn("form", F.lit("canonical")).unionByName(tree.withColumn("form", F.lit("tree")))
-    return both.join(sizes.select(*keys, "record_count"), keys)
+    return records.groupBy(*keys).agg(F.sha2(document, 256).alias("fingerprint"), F.count(F.lit(1)).alias("record_count"))
+
+
+#: Hexadecimal digits of the record id's hash that name a node, from the leaves up.
+TREE_DIGITS = (10, 7, 4, 2)
 
 
 def tree_fingerprint(
-    records: DataFrame, keys: Sequence[str], record_id: str, record: str, leaf_digits: int = 3
+    records: DataFrame, keys: Sequence[str], record_id: str, record: str, digits: Sequence[int] = TREE_DIGITS
 ) -> DataFrame:
-    """Order-independent two-level hash; leaves are chosen by the hash of the record id."""
+    """Order-independent hash tree over records; nodes are named by the hash of the record id.
+
+    A node has at most 16 to the number of digits between two levels of children, and a leaf of
+    ten digits holds about one record in 10^12, so no task collects a long list.
+    """
     keys = list(keys)
-    leaf = F.substring(F.sha2(F.col(record_id).cast("string"), 256), 1, leaf_digits)
-    hashed = records.select(
-        *keys, leaf.alias("leaf"), F.col(record_id).alias("_rid"), F.sha2(F.col(record), 256).alias("_h")
-    )
-    leaves = hashed.groupBy(*keys, "leaf").agg(
-        F.sha2(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rid", "_h"))), lambda r: r["_h"]), ""), 256
-        ).alias("leaf_hash")
-    )
-    return leaves.groupBy(*keys).agg(
-        F.sha2(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("leaf", "leaf_hash"))), lambda r: r["leaf_hash"]), ""
-            ),
-            256,
-        ).alias("fingerprint")
+    nodes = records.select(
+        *keys, F.sha2(F.col(record_id).cast("string"), 256).alias("_node"), F.col(record_id).alias("_order"),
+        F.sha2(F.col(record), 256).alias("_h"),
     )
 
+    def above(rows: DataFrame, *group) -> DataFrame:
+        inside = F.array_sort(F.collect_list(F.struct("_order", "_h")))
+        return rows.groupBy(*keys, *group).agg(F.sha2(F.array_join(F.transform(inside, lambda r: r["_h"]), ""), 256).alias("_h"))
+
+    for n in digits:
+        nodes = above(nodes, F.substring("_node", 1, n).alias("_up"))
+        nodes = nodes.select(*keys, F.col("_up").alias("_node"), F.col("_up").alias("_order"), "_h")
+    return above(nodes).withColumnRenamed("_h", "fingerprint")
+
 
 def duplicate_content(df: DataFrame, content: str) -> DataFrame:
     """Content hashes that occur more than once; counts use partial aggregation."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,20 +23,19 @@ def strict_boxes(raw: Column) -> Column:
     """Box array from JSON text; NULL when a coordinate is not a plain integer literal.
 
     Text and floating-point coordinates must not be coerced, so coordinates are read as
-    strings and the JSON text itself is checked for the exact field set.
+    strings and the JSON text itself is checked for the exact field set. White space may stand
+    between tokens only; a coordinate beyond 32 bits makes the value NULL.
     """
     integer = r"(?:0|-?[1-9][0-9]*)"
-    field = rf'"(?:x|y|width|height)":{integer}'
-    one = rf'\{{"bbox":\{{{field},{field},{field},{field}\}}\}}'
-    compact = F.regexp_replace(raw, r"\s+", "")
-    parsed = F.from_json(compact, BOX_SCHEMA)
-    complete = F.forall(
-        parsed, lambda r: r["bbox"]["x"].isNotNull() & r["bbox"]["y"].isNotNull()
-        & r["bbox"]["width"].isNotNull() & r["bbox"]["height"].isNotNull()
-    )
-    plain = compact.rlike(rf"^\[(?:{one}(?:,{one})*)?\]$")
-    boxes = F.transform(parsed, lambda r: B.box(r["bbox"]["x"], r["bbox"]["y"], r["bbox"]["width"], r["bbox"]["height"]))
-    return F.when(plain & complete, boxes)
+    gap = r"[ \t\r\n]*"
+    field = rf'{gap}"(?:x|y|width|height)"{gap}:{gap}{integer}{gap}'
+    one = rf'{gap}\{{{gap}"bbox"{gap}:{gap}\{{{field},{field},{field},{field}\}}{gap}\}}{gap}'
+    plain = raw.rlike(rf"\A{gap}\[(?:{one}(?:,{one})*|{gap})\]{gap}\z")
+    parsed = F.from_json(F.when(plain, raw), BOX_SCHEMA)
+    sides = ("x", "y", "width", "height")
+    boxes = F.transform(parsed, lambda r: B.box(*[r["bbox"][side].try_cast("int") for side in sides]))
+    complete = F.forall(boxes, lambda b: b["x"].isNotNull() & b["y"].isNotNull() & b["width"].isNotNull() & b["height"].isNotNull())
+    return F.when(complete, boxes)
 
 
 def save_rules(crop_width: Column, crop_height: Column) -> dict[str, Column]:
@@ -140,17 +139,17 @@ def provenance(labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def freeze_labels(labels: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(snapshot rows, one provenance row per dataset with its fingerprint)."""
+def freeze_labels(labels: DataFrame, keys: Sequence[str], form: Callable[..., DataFrame] = P.canonical_fingerprint) -> tuple[DataFrame, DataFrame]:
+    """(snapshot rows, one provenance row per dataset with its fingerprint of the chosen form)."""
     snapshot = with_record(labels)
-    prints = P.store_fingerprint(snapshot, keys, "sample_id", "record").drop("record_count")
+    prints = form(snapshot, keys, "sample_id", "record").drop("record_count")
     return snapshot, provenance(labels, keys).join(prints, list(keys))
 
 
-def verify_frozen(snapshot: DataFrame, recorded: DataFrame, keys: Sequence[str]) -> DataFrame:
+def verify_frozen(snapshot: DataFrame, recorded: DataFrame, keys: Sequence[str], form: Callable[..., DataFrame] = P.canonical_fingerprint) -> DataFrame:
     """Datasets whose recomputed fingerprint or counts differ from the recorded ones."""
     keys = list(keys)
-    _, now = freeze_labels(snapshot, keys)
+    _, now = freeze_labels(snapshot, keys, form)
     compared = ["fingerprint", "annotation_count", "human_answer_box_count"]
     again = now.select(*keys, *[F.col(c).alias(f"now_{c}") for c in compared])
     joined = recorded.select(*keys, *compared).join(again, keys, "full_outer")
@@ -243,7 +242,7 @@ def frozen_benchmark_gate(samples: DataFrame, keys: Sequence[str], expected_coun
     keys = list(keys)
     ready = F.col("ground_truth_status").isin("verified", "verified_empty")
     facts = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_count"), F.count_if(~ready).alias("pending_count"))
-    prints = P.store_fingerprint(
+    prints = P.canonical_fingerprint(
         samples.withColumn("record", ground_truth_record()), keys, "sample_id", "record", P.GROUND_TRUTH_ENVELOPE
     ).select(*keys, "fingerprint")
     return facts.join(prints, keys).withColumn(

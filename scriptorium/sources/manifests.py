@@ -98,7 +98,7 @@ def parse_worksheet(documents: DataFrame, text: str, keys: Sequence[str]) -> tup
     """(sample_id, entered_text rows; violations) from Markdown worksheets."""
     keys = list(keys)
     sections = F.regexp_extract_all(
-        F.col(text), F.lit(r"(?ms)^## Sample \d{3}\n(.*?)(?=^## Sample \d{3}\n|\z)"), F.lit(1)
+        F.col(text), F.lit(r"(?ms)^## Sample \d{3,}\n(.*?)(?=^## Sample \d{3,}\n|\z)"), F.lit(1)
     )
     listed = documents.select(*keys, sections.alias("_all"))
     bodies = listed.select(*keys, F.posexplode("_all").alias("position", "body"))

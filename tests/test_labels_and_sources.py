@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import ids
+from scriptorium.functions import text as T
 from scriptorium.plans import labels as L
 from scriptorium.sources import inventory as I
 from scriptorium.sources import manifests as M
@@ -178,3 +179,36 @@ def test_partitioning_does_not_change_results(spark):
         assert {n: run(n) for n in names} == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_geometry_is_never_repaired(spark):
+    def raw(x, tail=""):
+        return '[{"bbox": {"x": %s, "y": 3, "width": 10, "height": 20%s}}]' % (x, tail)
+
+    cases = {
+        raw("1"): 1, raw(" 1\n"): 1, "[]": 0, "[ ]": 0, raw("1 2"): None, raw("01"): None, raw("1.5"): None, raw('"1"'): None,
+        raw("99999999999"): None, raw("1", ', "x": 2'): None, "": None, "[] x": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", L.strict_boxes(F.col("raw")).alias("b"))
+    assert {r.raw: None if r.b is None else len(r.b) for r in rows.collect()} == {k: None if v is None else min(v, 1) for k, v in cases.items()}
+
+
+def test_worksheet_of_1200_samples(spark):
+    body = "".join(f"## Sample {i:03d}\n\nSample ID: s{i}\nGround truth student text:\ntext {i}\n\n" for i in range(1, 1201))
+    rows, bad = M.parse_worksheet(spark.createDataFrame([(1, body)], "k int, sheet string"), "sheet", ["k"])
+    assert {r.sample_id: r.entered_text for r in rows.collect()} == {f"s{i}": f"text {i}" for i in range(1, 1201)}
+    assert bad.count() == 0
+
+
+def test_note_on_missing_text(spark):
+    rows = spark.createDataFrame([(None, "n"), ("", "n"), ("n", "n"), ("a", "n"), ("a", None)], "t string, n string")
+    assert [r[0] for r in rows.select(T.append_note(F.col("t"), F.col("n"))).collect()] == ["n", "n", "n", "a\nn", "a"]
+
+
+def test_coordinate_beyond_32_bits_rejects_the_page(spark):
+    columns = ("text", "conf", "left", "top", "width", "height", "block_num", "par_num", "line_num", "word_num")
+    one = {c: ["1"] for c in columns}
+    pages = spark.createDataFrame([(1, *one.values()), (2, *{**one, "left": ["1e10"]}.values())], "k int, " + ", ".join(f"{c} array<string>" for c in columns))
+    rows, rejected = W.ingest_word_arrays(pages, ["k"])
+    assert [r.k for r in rows.collect()] == [1]
+    assert [(r.k, r.reject_reason) for r in rejected.collect()] == [(2, "non_integral_number")]

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from scriptorium.operators.sequences import increasing_chain, lcs_length
+from scriptorium.plans import evidence as E
 from scriptorium.plans import structure as R
 
 WORD = (
@@ -98,3 +99,14 @@ def test_layout_text(spark):
 def test_common_subsequence(spark):
     df = spark.createDataFrame([([1, 2, 3, 4], [1, 3, 4, 2]), ([], [1]), ([5], [])], "a array<int>, b array<int>")
     assert [r[0] for r in df.select(lcs_length(F.col("a"), F.col("b"))).collect()] == [3, 0, 0]
+
+
+def test_answers_are_numbered_as_opened(spark):
+    key = "paper_id int, page_number int, test_number int"
+    box = "struct<x:int,y:int,width:int,height:int>"
+    regions = spark.createDataFrame([(1, 1, 1, (0, 0, 1000, 1000))], f"{key}, region {box}")
+    lines = spark.createDataFrame([], f"{key}, line_box {box}")
+    boxes = [(100, 40, 20, 5), (300, 40, 20, 5), (60, 41, 240, 5)]  # the third joins the second, and reaches left of the first
+    evidence = spark.createDataFrame([(1, 1, 1, i, "student_candidate", b) for i, b in enumerate(boxes)], f"{key}, evidence_no int, evidence_type string, box {box}")
+    found = {r.answer_no: (r.box.x, list(r.source_indices)) for r in E.answer_regions(regions, lines, evidence).collect()}
+    assert found == {0: (82, [0]), 1: (42, [1, 2])}
