@@ -59,9 +59,9 @@ def matches(docs: DataFrame, items: DataFrame, size: int = SIZE, shingle: int =
     if not ks:
         return docs.select("doc_id").limit(0).select("doc_id", F.array(F.struct(F.lit(0).alias("start"), F.array(F.lit("")).alias("window"), F.array(F.lit("")).alias("items"))).alias("hits"))
     w = docs.select("doc_id", words(F.col("text"), WORD).alias("w"))
-    places = positions(w, ks)
     known = small(shingles.select("h").distinct())
-    rarity = places.select("h").join(known, "h", "left_semi").groupBy("h").agg(F.count("*").alias("seen"))
+    places = stored(positions(w, ks).join(known, "h", "left_semi"))  # read by the count and by the join
+    rarity = places.groupBy("h").agg(F.count("*").alias("seen"))
     ranked = shingles.join(rarity, "h", "left").select("*", F.coalesce("seen", F.lit(0)).alias("rare"))
     prefix = ranked.groupBy("window", "len").agg(F.min(F.struct("rare", "h", "offset")).alias("p"))
     prefix = prefix.filter("p.rare > 0").join(owners(items, size), "window").select("window", "len", "items", "p.h", "p.offset")
@@ -73,7 +73,8 @@ def matches(docs: DataFrame, items: DataFrame, size: int = SIZE, shingle: int =
 def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, item_ids, contaminated for every row of ``docs``."""
     docs = docs.select("doc_id", "text")
-    joined = docs.join(matches(docs, items, size), "doc_id", "left").withColumn("w", words(F.col("text"), WORD)).select("doc_id", "w", "hits")
+    # stored, so that the planner knows its size and moves texts only where it must
+    joined = docs.join(stored(matches(docs, items, size)), "doc_id", "left").withColumn("w", words(F.col("text"), WORD)).select("doc_id", "w", "hits")
     exact = F.filter(F.coalesce("hits", F.array().cast(joined.schema["hits"].dataType)), lambda h: F.slice(F.col("w"), h["start"] + 1, F.size(h["window"])) == h["window"])
     out = joined.select("doc_id", F.size("w").cast("long").alias("n_words"), exact.alias("exact"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("exact", lambda h: F.sequence(h["start"], h["start"] + F.size(h["window"]) - 1))))).cast("long")
