@@ -2,7 +2,8 @@
 
 Two tiers. Whole pre-tokens that are in the vocabulary are resolved together by a minimal
 perfect hash (bucketed displacement: one seed per bucket, as many slots as keys); the few
-others are merged with a heap of pair ranks over linked bytes.
+others are merged with a heap of pair ranks over linked bytes. A worker keeps the ids of pre-tokens
+it has met, up to ``MEMO`` characters of them, and starts afresh beyond; ids do not depend on it.
 
 Null and empty texts give no ids. Texts are processed whole; a task holds one Arrow batch.
 Repeated rows each give their row; other columns of the input are not read.
@@ -15,6 +16,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EMPTY = np.zeros(0, np.int32)
+#: Characters of pre-tokens whose ids a worker keeps.
+MEMO = 1 << 22
 
 
 class PerfectHash:
@@ -101,28 +104,27 @@ class Codec:
     def __init__(self, vocabulary: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
         self.lookup = PerfectHash(list(self.ranks))
-        self.rank_of = np.fromiter(self.ranks.values(), np.int64, len(self.ranks))
+        self.rank_of = list(self.ranks.values())
         self.bytes_of = {r: b for b, r in self.ranks.items()}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.held = 0
         # white space as the Unicode property, whatever else a library counts as such
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        order: dict[str, int] = {}
-        numbered = [np.fromiter((order.setdefault(p, len(order)) for p in self.pattern.findall(t)), np.int64) if t else EMPTY for t in texts]
-        pieces = [p.encode() for p in order]
-        whole = self.lookup.index(pieces)
-        ids = [[int(self.rank_of[w])] if w >= 0 else merge(p, self.ranks) for p, w in zip(pieces, whole, strict=True)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for one in ids for i in one), np.int32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        return [self._spread(flat, starts, sizes, n) if len(n) else EMPTY for n in numbered]
-
-    @staticmethod
-    def _spread(flat, starts, sizes, n):
-        count = sizes[n]
-        total = int(count.sum())
-        first = np.repeat(starts[n] - (np.cumsum(count) - count), count)
-        return flat[first + np.arange(total)]
+        found = [self.pattern.findall(t) for t in texts]
+        self._learn(list(set().union(*found).difference(self.memo)))
+        out = [np.fromiter(chain.from_iterable(map(self.memo.__getitem__, f)), np.int32) for f in found]
+        if self.held > MEMO:
+            self.memo.clear()
+            self.held = 0
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        pieces = [p.encode() for p in new]
+        for p, piece, w in zip(new, pieces, self.lookup.index(pieces).tolist(), strict=True):
+            self.memo[p] = (self.rank_of[w],) if w >= 0 else tuple(merge(piece, self.ranks))
+        self.held += sum(map(len, new))
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
