@@ -15,7 +15,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: Characters of pre-tokens whose ids a worker keeps.
 MEMO = 1 << 22
+#: Seeds tried at once for a bucket of the perfect hash.
+TRIALS = 64
 
 
 class PerfectHash:
@@ -37,26 +39,34 @@ class PerfectHash:
         n = self.n = len(keys)
         self.keys = np.empty(n, object)
         self.buckets = max(1, n // 3)
-        self.seeds = np.zeros(self.buckets, np.uint64)
+        self.seeds = np.zeros(self.buckets, np.int64)
         self.ids = np.full(n, -1, np.int64)
         h = self.hashes(keys)
         groups = np.split(np.argsort(h % np.uint64(self.buckets), kind="stable"), np.cumsum(np.bincount((h % np.uint64(self.buckets)).astype(np.int64), minlength=self.buckets))[:-1])
         free = np.ones(n, bool)
-        for b in sorted(range(self.buckets), key=lambda g: -len(groups[g])):
+        trial = np.arange(TRIALS, dtype=np.uint64)
+        for b in sorted((g for g in range(self.buckets) if len(groups[g]) > 1), key=lambda g: -len(groups[g])):
             members = groups[b]
-            if not len(members):
-                continue
-            seed = 0
+            base = np.uint64(0)
             while True:
-                slots = self.slots(h[members], np.uint64(seed))
-                if free[slots].all() and len(set(slots.tolist())) == len(slots):
+                slots = self.slots(h[members][:, None], trial + base)
+                apart = (np.diff(np.sort(slots, axis=0), axis=0) != 0).all(axis=0)
+                fits = np.flatnonzero(free[slots].all(axis=0) & apart)
+                if len(fits):
                     break
-                seed += 1
-            self.seeds[b] = seed
-            free[slots] = False
-            self.ids[slots] = members
-            for s, k in zip(slots, members, strict=True):
-                self.keys[s] = keys[k]
+                base += np.uint64(TRIALS)
+            self.seeds[b] = int(base) + int(fits[0])
+            self._place(slots[:, fits[0]], members, free, keys)
+        # a key alone in its bucket takes any slot that is left: the bucket names it by -1 - slot
+        for b, slot in zip([g for g in range(self.buckets) if len(groups[g]) == 1], np.flatnonzero(free).tolist(), strict=True):
+            self.seeds[b] = -1 - slot
+            self._place(np.array([slot]), groups[b], free, keys)
+
+    def _place(self, slots: np.ndarray, members: np.ndarray, free: np.ndarray, keys: list[bytes]) -> None:
+        free[slots] = False
+        self.ids[slots] = members
+        for s, k in zip(slots, members, strict=True):
+            self.keys[s] = keys[k]
 
     @staticmethod
     def hashes(keys: list[bytes]) -> np.ndarray:
@@ -71,7 +81,8 @@ class PerfectHash:
         if not keys or not self.n:
             return np.full(len(keys), -1, np.int64)
         h = self.hashes(keys)
-        slots = self.slots(h, self.seeds[(h % np.uint64(self.buckets)).astype(np.int64)])
+        seeds = self.seeds[(h % np.uint64(self.buckets)).astype(np.int64)]
+        slots = np.where(seeds < 0, -1 - seeds, self.slots(h, seeds.astype(np.uint64)))
         same = np.fromiter((k == s for k, s in zip(keys, self.keys[slots], strict=True)), bool, len(keys))
         return np.where(same, self.ids[slots], -1)
 
@@ -103,7 +114,6 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     def __init__(self, vocabulary: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
-        self.lookup = PerfectHash(list(self.ranks))
         self.rank_of = list(self.ranks.values())
         self.bytes_of = {r: b for b, r in self.ranks.items()}
         self.memo: dict[str, tuple[int, ...]] = {}
@@ -111,6 +121,11 @@ class Codec:
         # white space as the Unicode property, whatever else a library counts as such
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
 
+    @cached_property
+    def lookup(self) -> PerfectHash:
+        """Built at the first encoding: decoding needs none."""
+        return PerfectHash(list(self.ranks))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         found = [self.pattern.findall(t) for t in texts]
         self._learn(list(set().union(*found).difference(self.memo)))
