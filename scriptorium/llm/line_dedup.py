@@ -9,6 +9,10 @@ as the windows that chose them, and grouped by the whole run. Every run but the
 (doc_id, line) order is deleted; overlapping runs unite to longer ones. Repeats are judged on
 the input, so the result does not depend on the order of deletion.
 
+A line is a whole paragraph, so long passages may have fewer than ``run`` lines. With ``words``,
+windows of fewer lines count too when they hold more words than that. ``op7`` keeps to runs of
+lines, which its SQL states; the pipeline uses both.
+
 No pair of occurrences is formed: groups keep their smallest place with partial aggregation,
 so a passage in a third of all rows costs one row per task.
 
@@ -25,39 +29,55 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import bind, stored
 
 RUN = 3
+#: A passage: a run of fewer lines counts as a repeat when it holds more words than this.
+PASSAGE_WORDS = 50
+
 
+def line_windows(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(doc_id, at, n, fingerprint, whole): windows of ``n`` = ``run`` non-blank lines; ``at`` counts them from 0.
 
-def line_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, at, fingerprint, whole): windows of ``run`` non-blank lines; ``at`` counts them from 0."""
+    With ``words`` also those of fewer lines that hold more words than that.
+    """
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?m)^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "")
-    lines = docs.select("doc_id", F.filter(F.split(text, "\n"), lambda x: x != "").alias("lines")).filter(F.size("lines") >= run)
+    lines = docs.select("doc_id", F.filter(F.split(text, "\n"), lambda x: x != "").alias("lines")).filter(F.size("lines") >= (run if words is None else 1))
     def make(h):
-        def window(i):
-            part = F.slice(h, i, run)
-            return F.struct((i - 1).alias("at"), F.array_min(part).alias("fingerprint"))
-        return F.transform(F.sequence(F.lit(1), F.size(h) - run + 1), window)
+        def window(i, n):
+            part = F.slice(h, i, n)
+            return F.struct((i - 1).alias("at"), F.lit(n).alias("n"), F.array_min(part).alias("fingerprint"))
+
+        def windows(n):
+            return F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), lambda i: window(i, n))).otherwise(F.array())
+
+        if words is None:
+            return windows(run)
+        size = F.transform("lines", lambda x: F.size(F.split(x, r"[ \t\r\f\x0B]+")))
+        long = [bind(size, lambda c: F.filter(windows(n), lambda w: F.aggregate(F.slice(c, w["at"] + 1, n), F.lit(0), lambda x, y: x + y) > words)) for n in range(1, run)]
+        return F.concat(windows(run), *long)
 
     places = lines.select("doc_id", "lines", bind(F.transform("lines", lambda x: F.xxhash64(x)), make).alias("ws"))
-    whole = F.transform("ws", lambda w: F.struct(w["at"].alias("at"), w["fingerprint"].alias("fingerprint"), F.md5(F.concat_ws("\n", F.slice("lines", w["at"] + 1, run))).alias("whole")))
+    whole = F.transform("ws", lambda w: F.struct(w["at"].alias("at"), w["n"].alias("n"), w["fingerprint"].alias("fingerprint"), F.md5(F.concat_ws("\n", F.slice("lines", w["at"] + 1, w["n"]))).alias("whole")))
     one = places.select("doc_id", F.explode(whole).alias("w"))
-    return one.select("doc_id", "w.at", "w.fingerprint", "w.whole")
+    return one.select("doc_id", "w.at", "w.n", "w.fingerprint", "w.whole")
 
 
-def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, starts): windows that also occur at an earlier place."""
-    windows = stored(line_windows(docs, run))
+def repeated_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(doc_id, starts): windows (at, n) that also occur at an earlier place."""
+    windows = stored(line_windows(docs, run, words))
     shared = windows.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
     candidates = windows.join(shared, "fingerprint", "left_semi")
-    first = candidates.groupBy("whole").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("whole", "first")
+    first = candidates.groupBy("whole").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("whole", "first")
     later = candidates.join(first, "whole").filter(F.struct("doc_id", "at") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    return later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("starts"))
+
 
+def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """``docs`` with ``text`` without later repeats, and n_lines, n_removed_lines.
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """``docs`` with ``text`` without later repeats, and n_lines, n_removed_lines."""
+    A repeat is a run of ``run`` lines or, with ``words``, one of fewer lines and more words than that.
+    """
     others = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     held = docs.select("doc_id", "text", F.struct(*others).alias("_row"))
-    held = held.join(repeated_lines(docs, run).withColumnRenamed("starts", "_starts"), "doc_id", "left")
+    held = held.join(repeated_lines(docs, run, words).withColumnRenamed("starts", "_starts"), "doc_id", "left")
     parts = F.split("text", "\n")
     held = held.withColumn("_parts", parts)
     numbered = bind(
@@ -65,7 +85,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
         lambda flags: F.filter(F.transform(F.sequence(F.lit(0), F.size(flags) - 1), lambda i: F.when(flags[i] == 1, i)), lambda i: i.isNotNull()),
     )
     held = held.withColumn("_real", F.when(F.col("text").isNotNull(), numbered))
-    gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.slice("_real", s + 1, run))))
+    gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.slice("_real", s["at"] + 1, s["n"]))))
     held = held.withColumn("_gone", F.coalesce(gone, F.array().cast("array<int>")))
     marks = bind(F.map_from_arrays("_gone", "_gone"), lambda m: F.filter("_parts", lambda x, i: F.element_at(m, i).isNull()))
     out = held.withColumn("text", F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.concat_ws("\n", marks)))

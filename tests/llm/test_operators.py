@@ -204,6 +204,39 @@ def test_line_dedup(docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def passages_removed(texts, run, words):
+    lines = {i: [x.strip(" \t\r\f\v") for x in (t or "").split("\n")] for i, t in texts.items()}
+    first, later = {}, defaultdict(set)
+    for i in sorted(lines):
+        real = [j for j, x in enumerate(lines[i]) if x]
+        for at in range(len(real)):
+            for n in range(1, run + 1):
+                part = real[at:at + n]
+                key = tuple(lines[i][j] for j in part)
+                if len(part) == n and (n == run or len(" ".join(key).split()) > words) and first.setdefault(key, (i, at)) != (i, at):
+                    later[i] |= set(part)
+    return {i: (len(later[i]), t if not later[i] else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in later[i])) for i, t in texts.items()}
+
+
+def test_line_dedup_of_short_long_passages(spark):
+    line, half = " ".join(f"a{i}" for i in range(51)), [" ".join(f"{c}{i}" for i in range(26)) for c in "bc"]
+    few = " ".join(f"d{i}" for i in range(50))
+    texts = {1: f"x\n{line}\ny", 2: line, 3: f" {line} ", 4: "\n".join(half), 5: f"p\n{half[0]}\n\n{half[1]}\nq", 6: half[0], 7: few, 8: few, 9: f"{line}\n{line}", 10: None, 11: "k\nl\nm", 12: "k\nl\nm", 13: "k\nl"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed_lines, r.text) for r in line_dedup.dedup_lines(frame, words=line_dedup.PASSAGE_WORDS).collect()}
+    assert got == passages_removed(texts, line_dedup.RUN, line_dedup.PASSAGE_WORDS)
+    assert {i for i, g in got.items() if g[0]} == {2, 3, 5, 9, 12} and got[5] == (2, "p\n\nq")
+
+
+def test_pipeline_removes_short_long_passages(spark):
+    import corpus_pipeline
+
+    line = " ".join(f"a{i}" for i in range(51))
+    frame = spark.createDataFrame([(1, line, 0), (2, f"own words\n{line}", 0), (3, line, 0)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, frame, "").collect()}
+    assert got == {1: line, 2: "own words"}
+
+
 def test_license_scan(docs, none):
     expected = sql(docs, "op6_license_scan")
     got = {r.doc_id: (r.n_matches, r.licenses, r.best_dice) for r in licenses.summary(licenses.scan(docs)).collect()}
