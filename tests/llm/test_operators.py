@@ -283,6 +283,68 @@ def test_quality_model_sums_to_one(docs):
     assert rows["p"].p + unseen == pytest.approx(1.0)
 
 
+def brute_model(seqs, order, base):
+    """P(last token of g after the others) of a modified Kneser-Ney model, as a function of g."""
+    counts = {order: defaultdict(int)}
+    for q in seqs:
+        for j in range(order - 1, len(q)):
+            counts[order][tuple(q[j - order + 1:j + 1])] += 1
+    for k in range(order - 1, 0, -1):
+        counts[k] = defaultdict(int)
+        for g in counts[k + 1]:
+            counts[k][g[1:]] += 1
+    cuts = {}
+    for k, table in counts.items():
+        n1, n2, n3, n4 = (max(sum(c == i for c in table.values()), 1) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        cuts[k] = [min(max(x, 0.05), i + 0.95) for i, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3))]
+    totals, spare = defaultdict(int), defaultdict(float)
+    for k, table in counts.items():
+        for g, c in table.items():
+            totals[k, g[:-1]] += c
+            spare[k, g[:-1]] += cuts[k][min(c, 3) - 1]
+
+    def p(g):
+        k = len(g)
+        below = p(g[1:]) if k > 1 else base(g[0])
+        if (k, g[:-1]) not in totals:
+            return below
+        c = counts[k].get(g, 0)
+        return (c - cuts[k][min(c, 3) - 1] if c else 0) / totals[k, g[:-1]] + spare[k, g[:-1]] / totals[k, g[:-1]] * below
+
+    return p
+
+
+def test_quality_against_brute_force_model(spark, docs):
+    import math
+
+    tokens = {i: t.split() for i, t in TEXTS.items() if t and t.split() and "\x1c" not in t}
+    trained = [["", "", *tokens[i]] for i in tokens if i % 4]
+    char = brute_model([["\n", "\n", *w, " "] for q in trained for w in q[2:]], 3, lambda c: 1 / quality.CODE_POINTS)
+
+    def spelled(w):
+        c = ["\n", "\n", *w, " "]
+        return math.prod(char(tuple(c[j - 2:j + 1])) for j in range(2, len(c)))
+
+    word = brute_model(trained, 3, spelled)
+    expected = {}
+    for i, w in tokens.items():
+        q = ["", "", *w]
+        expected[i] = math.exp(-sum(math.log(word(tuple(q[j - 2:j + 1]))) for j in range(2, len(q))) / len(w))
+    some = docs.filter(F.col("doc_id").isin(list(tokens)))
+    got = {r.doc_id: r for r in quality.score(some, quality.train_words(some.filter("doc_id % 4 <> 0").select("text"))).collect()}
+    assert {i: r.n for i, r in got.items()} == {i: len(w) for i, w in tokens.items()}
+    assert {i: r.perplexity for i, r in got.items()} == pytest.approx(expected, rel=1e-9)
+
+
+def test_quality_recall_on_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = quality.judge(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").toPandas()
+    bad, good = out[out.quality == 0], out[out.quality == 1]
+    assert not bad.keep.any() and good.keep.mean() > 0.97
+
+
 def test_toxicity(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
