@@ -3,9 +3,10 @@
 Features are the words of a text, and the beginnings of its longer words, that the labelled
 rows tie to a class: they are counted over all training rows, and the ``features`` with the highest z-value enter, always with the identity
 terms. A text is the set of its features. For each
-training text with identity terms a counterpart is made in which each term is swapped for
-another of its language; a logistic regression is fitted with a penalty on the squared
-difference of the two scores, so that naming a group does not raise a score by itself.
+training text with identity terms two counterparts are made, before features are taken: one in
+which each term is swapped for another of its language and one without the terms. A logistic
+regression is fitted with a penalty on the squared differences from the counterparts' scores;
+the terms have no beginnings, so that naming a group changes a score little by itself.
 
 The fit takes at most ``rows`` labelled rows (those with the smallest hash of doc_id) and as
 many weights as features; both bounds are parameters. Counting and scoring cover all rows.
@@ -17,7 +18,7 @@ classes the score is 0.5. Only doc_id and text are read; doc_id only splits and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,18 +42,43 @@ IDENTITY = [
     "femmes hommes musulmans chrétiens juifs immigrés réfugiés handicapés homosexuels".split(),
     "mujeres hombres musulmanes cristianos judíos inmigrantes refugiados discapacitados homosexuales".split(),
 ]
+#: Singular and inflected forms, by language and kind.
+IDENTITY += [
+    "woman man girl boy mother father muslim christian jew hindu atheist immigrant refugee".split(),
+    "blacks whites asians latinos gays lesbians".split(),
+    "frau mann muslima christ jude migrant flüchtling behinderter schwuler lesbe".split(),
+    "männern muslimen behinderten schwulen".split(),
+    "femme homme musulman chrétien juif immigré réfugié handicapé homosexuel".split(),
+    "musulmane chrétienne juive immigrée réfugiée handicapée homosexuelle".split(),
+    "mujer hombre musulmán cristiano judío inmigrante refugiado discapacitado homosexual".split(),
+    "musulmana cristiana judía refugiada discapacitada".split(),
+]
 SWAP = {t: row[(i + 1) % len(row)] for row in IDENTITY for i, t in enumerate(row)}
 
 
-def bag(text: Column) -> Column:
-    """Distinct words, and distinct beginnings (marked by a star) of words longer than those."""
+def swapped(w: Column) -> Column:
+    """Words with each identity term replaced by the next of its row."""
+    other = F.create_map(*[F.lit(x) for pair in SWAP.items() for x in pair])
+    return F.transform(w, lambda x: F.coalesce(F.element_at(other, x), x))
+
+
+def without(w: Column) -> Column:
+    """Words without identity terms."""
+    return F.filter(w, lambda x: ~x.isin(list(SWAP)))
+
+
+def bag(text: Column, change: Callable[[Column], Column] = lambda w: w) -> Column:
+    """Distinct words, and distinct beginnings (marked by a star) of words longer than those; identity terms have none.
+
+    ``change`` is applied to the words before beginnings are taken.
+    """
     def beginnings(w, n):
         return F.transform(F.filter(w, lambda x: F.char_length(x) > n), lambda x: F.concat(F.substring(x, 1, n), F.lit("*")))
 
     def make(w):
-        return F.array_distinct(F.concat(w, *[beginnings(w, n) for n in STARTS]))
+        return bind(without(w), lambda other: F.array_distinct(F.concat(w, *[beginnings(other, n) for n in STARTS])))
 
-    return bind(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)), make)
+    return bind(F.array_distinct(change(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0))), make)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -71,15 +97,23 @@ def choose(train: DataFrame, features: int = FEATURES) -> list[str]:
     return [r["word"] for r in top.collect()]
 
 
-def fit(x: np.ndarray, twin: np.ndarray, y: np.ndarray, penalty: float = PENALTY, ridge: float = RIDGE, steps: int = 400) -> np.ndarray:
-    """Weights (last: intercept) of least log loss + ridge + penalty * squared score change."""
+def fit(x: np.ndarray, twin: np.ndarray, y: np.ndarray, penalty: float = PENALTY, ridge: float = RIDGE, steps: int = 400, *more: np.ndarray) -> np.ndarray:
+    """Weights (last: intercept) of least log loss + ridge + penalty * squared score changes to ``twin`` and ``more``.
+
+    Twins are matrices of all rows, or pairs of row numbers and the matrix of those; rows left out are equal.
+    """
     n = len(y)
-    x1, t1 = np.c_[x, np.ones(n)], np.c_[twin, np.ones(n)]
+    x1, twins = np.c_[x, np.ones(n)], []
+    for at, t in (t if isinstance(t, tuple) else (np.arange(n), t) for t in (twin, *more)):
+        twins.append((at, np.c_[t, np.ones(len(t))], x1[at]))
     w = np.zeros(x1.shape[1])
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        p, q = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30))), 1 / (1 + np.exp(-np.clip(t1 @ w, -30, 30)))
-        grad = x1.T @ (p - y) + 2 * penalty * (x1.T @ ((p - q) * p * (1 - p)) - t1.T @ ((p - q) * q * (1 - q)))
+        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+        grad = x1.T @ (p - y)
+        for at, t1, own in twins:
+            o, q = p[at], 1 / (1 + np.exp(-np.clip(t1 @ w, -30, 30)))
+            grad += 2 * penalty * (own.T @ ((o - q) * o * (1 - o)) - t1.T @ ((o - q) * q * (1 - q)))
         grad[:-1] += ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -100,10 +134,15 @@ def learn(docs: DataFrame, labels: DataFrame, features: int = FEATURES, rows: in
     if not words:
         return {}, np.zeros(1)
     index = {w: i for i, w in enumerate(dict.fromkeys([*words, *SWAP]))}
-    kept = F.filter(bag(F.col("text")), lambda w: w.isin(list(index)))
-    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("toxic", kept.alias("words")).toPandas()
-    bags = [list(b) for b in sample["words"]]
-    return index, fit(matrix(bags, index), matrix([[SWAP.get(w, w) for w in b] for b in bags], index), sample["toxic"].to_numpy(float), penalty)
+    own, *changed = (F.filter(bag(F.col("text"), change), lambda w: w.isin(list(index))) for change in (lambda w: w, swapped, without))
+    kept = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("toxic", own.alias("own"), *[F.when(own != b, b).alias(f"twin{i}") for i, b in enumerate(changed)]).toPandas()
+
+    def twin(bags):
+        at = np.flatnonzero(bags.notna())
+        return at, matrix([list(bags.iloc[i]) for i in at], index)
+
+    twins = [twin(kept[f"twin{i}"]) for i in range(len(changed))]
+    return index, fit(matrix([list(b) for b in kept["own"]], index), twins[0], kept["toxic"].to_numpy(float), penalty, RIDGE, 400, *twins[1:])
 
 
 def score(docs: DataFrame, model: tuple[dict[str, int], np.ndarray]) -> DataFrame:

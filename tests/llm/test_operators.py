@@ -359,6 +359,26 @@ def test_toxicity(spark, docs, none):
     assert toxicity.classify(none, few).count() == 0
 
 
+def test_neutral_mentions_of_groups_keep_their_score(spark):
+    rng = random.Random(3)
+    filler = [f"{a}{b}" for a in "bcdfg" for b in ("an", "el", "ir", "os")]
+    rows, labels = [], []
+    for i in range(1500):
+        words = [rng.choice(filler) for _ in range(8)]
+        toxic = i % 3 == 0
+        if toxic:
+            words += [rng.choice(("scum", "vermin")), rng.choice(list(toxicity.SWAP))]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    plain = " ".join(filler[:8])
+    asked = [(-1, plain), (-2, f"{plain} scum"), *[(i, f"{plain} {t}") for i, t in enumerate(toxicity.SWAP)]]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    change = {t: round(abs(got[i] - got[-1]), 3) for i, t in enumerate(toxicity.SWAP)}
+    assert got[-2] > 0.7 and max(change.values()) < 0.05, (got[-1], got[-2], sorted(change.items(), key=lambda x: -x[1])[:9])
+    assert {"muslim", "woman", "jew"} <= set(toxicity.SWAP)
+
+
 def test_counterfactual_penalty_narrows_scores():
     x = np.array([[1.0, 0], [1, 0], [0, 1], [0, 1], [1, 0], [0, 1]])
     y = np.array([1.0, 1, 0, 0, 1, 0])
