@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, decontaminate, licenses, line_dedup, ngram_join, order_minhash, quality, suffix_dedup, token_files, toxicity
+from scriptorium.llm import (
+    byte_bpe, conversations, decontaminate, licenses, line_dedup, ngram_join, order_minhash, quality, quality_rules, suffix_dedup, token_files, toxicity, whitening,
+)
 from scriptorium.llm.common import table
 
 
@@ -65,10 +67,26 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(byte_bpe.decode(ids, path, public_tokenizers.PATTERN))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_token_files, op3_toxicity, op4_decontamination, op5_suffix_dedup, op6_license_scan, op7_line_dedup, op8_order_minhash, op9_quality, op10_byte_bpe)}
+def op11_quality_rules(spark, sf_dir):
+    out = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    out = quality_rules.apply_policy(quality_rules.apply_policy(out, quality_rules.PROSE), quality_rules.BASE, name="passed_base")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("passed_base")).alias("base_failed"), "kept")
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), top=4).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_token_files, op3_toxicity, op4_decontamination, op5_suffix_dedup, op6_license_scan, op7_line_dedup, op8_order_minhash, op9_quality, op10_byte_bpe, op11_quality_rules, op12_whitening, op13_conversation_repair)}
 
 ORACLES = {
     "op6_license_scan": licenses.oracle(),
+    "op11_quality_rules": quality_rules.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE + """
 select d.doc_id, coalesce(r.n, 0) as n_lines, coalesce(g.n, 0) as n_removed_lines, sha256(coalesce(kept.text, '')) as kept_sha256
 from documents d left join (select doc_id, count(*) as n from r group by all) r using (doc_id)
