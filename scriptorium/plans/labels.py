@@ -12,7 +12,7 @@ from scriptorium.functions import text as T
 from scriptorium.functions.scoring import EVIDENCE_TYPES
 from scriptorium.operators import fingerprints as P
 from scriptorium.operators.joins import coverage
-from scriptorium.operators.rules import split_valid
+from scriptorium.operators.rules import check_rules, split_valid, unique_violations
 
 # Texts accepted as an explicit statement that a sample is empty.
 EMPTY_STATEMENTS = ("empty", "none", "no student-answer text", "no student answer text")
@@ -128,6 +128,19 @@ def validate_labels(samples: DataFrame, labels: DataFrame, images: DataFrame | N
     return problems
 
 
+def label_problems(labels: DataFrame) -> DataFrame:
+    """sample_id and ``problem`` of labels that contradict themselves, or of samples labelled twice."""
+    boxes = F.col("boxes")
+    rules = {
+        "unknown_class": F.col("evidence_type").isin(*EVIDENCE_TYPES),
+        "answer_state": F.when(F.col("answer_status") == "annotated", F.size(boxes) > 0).when(F.col("answer_status") == "verified_empty", F.size(boxes) == 0),
+        "box_not_positive": F.forall(boxes, lambda b: (b["width"] > 0) & (b["height"] > 0) & (b["x"] >= 0) & (b["y"] >= 0)),
+    }
+    broken = check_rules(labels, ["sample_id"], rules).withColumnRenamed("rule", "problem")
+    twice = unique_violations(labels, ["sample_id"], "duplicate_label").withColumnRenamed("rule", "problem")
+    return broken.unionByName(twice)
+
+
 def provenance(labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Safe counts that accompany a frozen label set."""
     return labels.groupBy(*keys).agg(
@@ -189,10 +202,10 @@ def still_valid(labels: DataFrame, approved: DataFrame) -> DataFrame:
 
 
 def freeze_ground_truth(samples: DataFrame, worksheet: DataFrame, verified_empty: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(frozen samples, violations) from transcriptions entered in a worksheet.
+    """(frozen samples, violations) from transcriptions entered in a worksheet: one of them is empty.
 
     ``samples``: sample_id, notes. ``worksheet``: sample_id, entered_text. ``verified_empty``:
-    sample_id. ``notes``: sample_id, note.
+    sample_id. ``notes``: sample_id, note. All or nothing: any violation leaves no frozen row.
     """
     entered = (
         samples.join(worksheet, "sample_id")
@@ -219,9 +232,12 @@ def freeze_ground_truth(samples: DataFrame, worksheet: DataFrame, verified_empty
     unknown_notes = coverage(samples, notes, "sample_id").where("problem = 'unexpected'").select(
         "sample_id", F.lit("unknown_note").alias("rule")
     )
-    return frozen, outcome.where(F.col("rule").isNotNull()).select("sample_id", "rule").unionByName(problems).unionByName(
-        unknown
-    ).unionByName(unknown_notes)
+    blank_notes = notes.where(F.coalesce(F.regexp_replace("note", r"(?U)\s+", ""), F.lit("")) == "").select("sample_id", F.lit("blank_note").alias("rule"))
+    violations = outcome.where(F.col("rule").isNotNull()).select("sample_id", "rule")
+    for more in (problems, unknown, unknown_notes, blank_notes, unique_violations(worksheet, ["sample_id"], "duplicate_sample"), unique_violations(notes, ["sample_id"], "duplicate_note")):
+        violations = violations.unionByName(more)
+    any_bad = F.broadcast(violations.limit(1).select(F.lit(1).alias("_any")))
+    return frozen.withColumn("_any", F.lit(1)).join(any_bad, "_any", "left_anti").drop("_any"), violations
 
 
 def ground_truth_record() -> Column:
@@ -237,19 +253,21 @@ def compare_constants(observed: DataFrame, expected: Mapping[str, str]) -> DataF
     return observed.join(wanted, "name", "full_outer").where(~F.col("observed").eqNullSafe(F.col("expected")))
 
 
-def frozen_benchmark_gate(samples: DataFrame, keys: Sequence[str], expected_count: Column, expected_fingerprint: Column) -> DataFrame:
-    """Per dataset: first reason why the benchmark must not be scored, NULL when it may."""
+def gate_benchmark(samples: DataFrame, recorded: DataFrame, keys: Sequence[str], fingerprints: Callable[..., DataFrame]) -> DataFrame:
+    """Per dataset: first reason why the benchmark must not be scored, NULL when it may.
+
+    ``recorded``: keys, sample_count and fingerprint as frozen. ``fingerprints`` makes keys and
+    fingerprint of the samples. A dataset that only one side knows is not ready or not frozen.
+    """
     keys = list(keys)
     ready = F.col("ground_truth_status").isin("verified", "verified_empty")
-    facts = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_count"), F.count_if(~ready).alias("pending_count"))
-    prints = P.canonical_fingerprint(
-        samples.withColumn("record", ground_truth_record()), keys, "sample_id", "record", P.GROUND_TRUTH_ENVELOPE
-    ).select(*keys, "fingerprint")
-    return facts.join(prints, keys).withColumn(
-        "blocked_by",
-        F.when((F.col("pending_count") > 0) | (F.col("sample_count") != expected_count), "not_ready").when(
-            F.col("fingerprint") != expected_fingerprint, "fingerprint_mismatch"
-        ),
+    facts = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_count"), F.count_if(~F.coalesce(ready, F.lit(False))).alias("pending_count"))
+    frozen = recorded.select(*keys, F.col("sample_count").alias("_count"), F.col("fingerprint").alias("_print"))
+    joined = facts.join(fingerprints(samples, keys), keys).join(frozen, keys, "full_outer")
+    unready = F.col("sample_count").isNull() | (F.col("pending_count") > 0) | (F.col("sample_count") != F.col("_count"))
+    return joined.select(
+        *keys, "sample_count", "pending_count", "fingerprint",
+        F.when(F.col("_print").isNull(), "not_frozen").when(unready, "not_ready").when(F.col("fingerprint") != F.col("_print"), "fingerprint_mismatch").alias("blocked_by"),
     )
 
 
