@@ -16,11 +16,16 @@ from scriptorium.plans.sessions import SessionLedger
 from scriptorium.session import checkpoint_dir
 from scriptorium.sources.snapshots import SnapshotStore
 from scriptorium.streaming import labels as ST
+from scriptorium.streaming import live as ST2
 
 ORDER = ["ts", "event_id"]
 _CURRENT = "select sample_id, event_id, evidence_type, case when is_empty then 'verified_empty' else 'annotated' end answer_status, cast(case when is_empty then 0 else 1 end as int) boxes from fx_current"
 
 
+def new_root(fx, name):
+    return f"{checkpoint_dir(fx.spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def current(fx):
     return L.current_labels(valid_saves(fx), ORDER)
 
@@ -104,34 +109,44 @@ def _(fx):
 # Streams ------------------------------------------------------------------------------------------
 
 
-def run_stream(fx, on_progress=None):
-    """Write the saves as JSON, run the label stream over them once, return its log folder."""
-    root = f"{checkpoint_dir(fx.spark)}/stream-{uuid.uuid4().hex}"
+def write_saves(fx):
+    """Every save as JSON in six files; returns the folder above them."""
+    root = new_root(fx, "stream")
     box = F.col("boxes")[0]
     fields = [F.concat(F.lit(f'"{n}":'), box[n].cast("string")) for n in ("x", "y", "width", "height")]
     text = F.when(F.size("boxes") == 0, "[]").otherwise(F.concat(F.lit('[{"bbox":{'), F.concat_ws(",", *fields), F.lit("}}]")))
     saves = fx.saves().withColumn("boxes", F.when(F.size("boxes") > 0, F.col("boxes")).otherwise(F.array().cast(fx.saves().schema["boxes"].dataType)))
     saves.withColumn("answer_regions", text).drop("boxes").repartition(6, "event_id").write.json(f"{root}/saves")
-    stream = ST.start_label_stream(
-        fx.spark, f"{root}/saves", fx.label_samples(), log=f"{root}/log", quarantine=f"{root}/quarantine", checkpoint=f"{root}/checkpoint",
-        on_progress=on_progress, files_per_batch=3, available_now=True,
-    )
-    stream.awaitTermination()
-    return f"{root}/log"
+    return root
+
+
+def run_live(fx):
+    """Run the live stream over all saves in two batches, return its folder."""
+    root = write_saves(fx)
+    ST2.start_live_labels(fx.spark, f"{root}/saves", fx.label_samples(), root=f"{root}/live", checkpoint=f"{root}/checkpoint", files_per_batch=3, available_now=True).awaitTermination()
+    return f"{root}/live"
 
 
 @query("t1_label_stream", _CURRENT)
 def _(fx):
-    log = run_stream(fx)
-    return ST.read_current(fx.spark, log).select("sample_id", "event_id", "evidence_type", "answer_status", F.size("boxes").alias("boxes"))
+    root = write_saves(fx)
+    ST.start_label_stream(
+        fx.spark, f"{root}/saves", fx.label_samples(), log=f"{root}/log", quarantine=f"{root}/quarantine", checkpoint=f"{root}/checkpoint", files_per_batch=3, available_now=True,
+    ).awaitTermination()
+    return ST.read_current(fx.spark, f"{root}/log").select("sample_id", "event_id", "evidence_type", "answer_status", F.size("boxes").alias("boxes"))
+
+
+@query("t1_live_labels", _CURRENT)
+def _(fx):
+    return ST2.live_labels(fx.spark, run_live(fx)).select("sample_id", "event_id", "evidence_type", "answer_status", F.size("boxes").alias("boxes"))
 
 
 @query("t2_live_progress", """
     with s as (select distinct concat('sample_', lpad(cast(user_id as varchar),6,'0')) sample_id from events)
-    select count(c.evidence_type) completed, count(*) total, count(c.evidence_type)=count(*) ready from s left join fx_current c using (sample_id)""")
+    select count(c.evidence_type) completed, count(*) total, count(c.evidence_type)=count(*) ready, count(*) filter (where evidence_type='printed') n_printed, count(*) filter (where evidence_type='student_candidate') n_student_candidate,
+      count(*) filter (where evidence_type='teacher_candidate') n_teacher_candidate, count(*) filter (where evidence_type='unknown') n_unknown from s left join fx_current c using (sample_id)""")
 def _(fx):
-    log = run_stream(fx)
-    return L.progress(fx.label_samples(), ST.read_current(fx.spark, log)).select("completed", "total", "ready")
+    return ST2.live_progress(fx.spark, run_live(fx), fx.label_samples().count())
 
 
 # Freezing and gates ---------------------------------------------------------------------------------
@@ -149,10 +164,6 @@ def _(fx):
     return prov.select("dataset_id", "fingerprint", "annotation_count", "human_answer_box_count", "verified_empty_count")
 
 
-def new_root(fx, name):
-    return f"{checkpoint_dir(fx.spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def frozen_set(fx, store, until=None, parents=None):
     """Freezes the labels as they were at a moment; the manifest lists the samples labelled by then."""
     saves = valid_saves(fx) if until is None else valid_saves(fx).where(F.col("ts") < F.lit(until).cast("timestamp"))

@@ -7,13 +7,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.session import cut_lineage
+
 
 def exact_medians(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
     """Exact median per key and value column, one row per key.
 
     ``median`` keeps every distinct value of a group in one buffer. Here a bounded sketch
     brackets the middle first (its rank error is far below the bracket width), values below
-    the bracket are only counted, and just the values inside it are ranked exactly.
+    the bracket are only counted, and just the values inside it are ranked exactly: they are
+    dealt into ranges, each range is counted, and the counts of the ranges before it are where a
+    range's ranks begin. No task sees more of a key than one range.
     """
     keys = list(keys)
     pairs = F.array(*[F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value")) for n, v in values.items()])
@@ -34,10 +38,15 @@ def exact_medians(df: DataFrame, keys: Sequence[str], values: Mapping[str, Colum
         .agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
         .join(below, group, "left")
     )
-    running = F.sum("c").over(Window.partitionBy(*group).orderBy("value"))
+    ranges = cut_lineage(inside.repartitionByRange(*group, "value").withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy(*group, "_range").agg(F.sum("c").alias("_in"))
+    starts = starts.withColumn("_start", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_in")
+    placed_ranges = ranges.join(starts, [*group, "_range"])
+    running = F.col("_start") + F.sum("c").over(Window.partitionBy(*group, "_range").orderBy("value"))
     last = F.coalesce("below", F.lit(0)) + running
     low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
-    ranked = inside.withColumn("last", last).withColumn("first", F.col("last") - F.col("c") + 1)
+    ranked = placed_ranges.withColumn("last", last).withColumn("first", F.col("last") - F.col("c") + 1)
     medians = ranked.groupBy(*group).agg(
         (
             (
