@@ -227,16 +227,12 @@ def _(fx):
     return s.select("sample_count", *[F.round(c, 9).alias(c) for c in s.columns if c != "sample_count"])
 
 
-# Localisation: predictions of some samples are dropped so that empty predictions occur.
-_LOCAL = MATCH_SQL.replace("from fx_numbered_boxes h join fx_numbered_boxes p", "from fx_numbered_boxes h join (select * from fx_numbered_boxes where hx%5<>0) p")
-
-
-def kept_predictions(fx):
-    return fx.boxes().where("human_box.x % 5 <> 0").select("sample_id", F.col("box_idx").alias("predicted_idx"), "predicted_box")
+# Localisation against predictions some of which were moved.
+_LOCAL = MATCH_SQL.replace("fx_numbered_boxes p on", "fx_predictions p on")
 
 
 def localization(fx):
-    human, predicted = fx.human_boxes(), kept_predictions(fx)
+    human, predicted = fx.human_boxes(), fx.moved_predictions()
     matches = match_boxes(human, predicted, ["sample_id"], [0.0, 0.25, 0.5])
     return human, predicted, matches
 
@@ -244,7 +240,7 @@ def localization(fx):
 @query("a16_localization_summary", f"""with {_LOCAL},
     m as (select count(*) filter (where threshold=0) pos, round(avg(m.s) filter (where threshold=0),6) mean_iou, round(median(m.s) filter (where threshold=0),6) median_iou,
       count(*) filter (where threshold=0.5e0) m50, count(*) filter (where threshold=0.25e0) m25 from matches),
-    t as (select (select count(*) from fx_numbered_boxes) h, (select count(*) from fx_numbered_boxes where hx%5<>0) p)
+    t as (select (select count(*) from fx_numbered_boxes) h, (select count(*) from fx_predictions) p)
     select h human_box_count, p predicted_box_count, pos positive_overlap_match_count, mean_iou mean_matched_iou, median_iou median_matched_iou, m50 matched_at_50, m25 matched_at_25,
       round(m50/cast(p as double),9) precision_at_50, round(m50/cast(h as double),9) recall_at_50, round(2*m50/cast(p+h as double),9) f1_at_50, h-m50 missed_at_50, p-m50 extra_at_50,
       round(m25/cast(p as double),9) precision_at_25, round(m25/cast(h as double),9) recall_at_25, round(2*m25/cast(p+h as double),9) f1_at_25, h-m25 missed_at_25, p-m25 extra_at_25 from m, t""")
@@ -261,7 +257,7 @@ def _(fx):
 
 
 @query("a17_empty_samples", """
-    with s as (select o_orderkey sample_id, o_orderkey%3=0 is_empty from orders), b as (select distinct sample_id from fx_numbered_boxes where hx%5<>0),
+    with s as (select o_orderkey sample_id, o_orderkey%3=0 is_empty from orders), b as (select distinct sample_id from fx_predictions),
     f as (select is_empty, b.sample_id is not null has from s left join b using (sample_id)),
     c as (select count(*) filter (where is_empty) e, count(*) filter (where not has) p, count(*) filter (where is_empty and not has) k, count(*) filter (where is_empty and has) x from f)
     select e verified_empty_samples, p predicted_empty_samples, k correctly_predicted_empty, x false_positive_empty_samples, round(k/cast(nullif(p,0) as double),9) empty_prediction_precision,
@@ -270,14 +266,14 @@ def _(fx):
     labels = fx.table("orders").select(
         F.col("o_orderkey").alias("sample_id"), F.when(F.col("o_orderkey") % 3 == 0, "verified_empty").otherwise("annotated").alias("answer_status")
     )
-    s = V.empty_sample_summary(labels, kept_predictions(fx))
+    s = V.empty_sample_summary(labels, fx.moved_predictions())
     return s.withColumn("empty_prediction_precision", F.round("empty_prediction_precision", 9)).withColumn("empty_recall", F.round("empty_recall", 9))
 
 
 _ROWS = f"""{_LOCAL},
     per as (select sample_id, count(*) filter (where threshold=0.5e0) m50, avg(m.s) filter (where threshold=0) mean_iou from matches group by 1),
     hb as (select sample_id, count(*) n, case (sample_id*3)%4 when 0 then 'printed' when 1 then 'student_candidate' when 2 then 'teacher_candidate' else 'unknown' end human from fx_numbered_boxes group by all),
-    pb as (select sample_id, count(*) n from fx_numbered_boxes where hx%5<>0 group by 1),
+    pb as (select sample_id, count(*) n from fx_predictions group by 1),
     ar as (select sample_id, case (box_idx*7+hx)%4 when 0 then 'printed' when 1 then 'student_candidate' when 2 then 'teacher_candidate' else 'unknown' end t, sum(cast(hw*hh as bigint)) area from fx_numbered_boxes group by all),
     mx as (select sample_id, max(area) area from ar group by 1),
     dc as (select ar.sample_id, case when count(*)=1 then min(t) else 'unknown' end predicted from ar join mx on ar.sample_id=mx.sample_id and ar.area=mx.area group by 1),

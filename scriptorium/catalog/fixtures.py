@@ -45,15 +45,14 @@ VIEWS: dict[str, str] = {
     "fx_headings": """
         select doc_id, cast(floor(doc_id/8) as bigint) paper_id, cast(doc_id%8+1 as int) page_number,
           cast(k as int) k, cast(2*(doc_id%8)+k as int) true_number,
-          case (doc_id+k)%6 when 0 then 'Test' when 1 then 'TEST' when 2 then 'lest' when 3 then 'Test'
-            when 4 then 'Text' else 'Best1' end kw,
+          case when (doc_id+k)%11=0 then 'zzzz' else case (doc_id+k)%6 when 0 then 'Test' when 1 then 'TEST' when 2 then 'lest' when 3 then 'Test'
+            when 4 then 'Text' else 'Best1' end end kw,
           case when (doc_id+k)%5=0 then replace(lpad(cast(2*(doc_id%8)+k as varchar),2,'0'),'0','O')
                else lpad(cast(2*(doc_id%8)+k as varchar),2,'0') end num,
           cast(60+(doc_id%9)*80 as int) x,
           cast(case when k=1 then 40+doc_id%50 else 700+doc_id%90 end as int) y,
           cast((doc_id*7+k*11)%101 as int) conf
-        from (select doc_id, unnest([1,2]) k from documents)
-        where (doc_id+k)%11<>0""",
+        from (select doc_id, unnest([1,2]) k from documents)""",
     "fx_words": """
         select paper_id, page_number, word_index, text, confidence, x, y, width, height,
           block_number, paragraph_number, line_number, word_number from fx_body
@@ -73,15 +72,17 @@ VIEWS: dict[str, str] = {
           case when l_linenumber%4=0 then null else cast((l_partkey*19)%101 as double)/100 end ocr_conf
         from lineitem""",
     "fx_components": """
-        select cast(floor((l_partkey-1)/8) as bigint) paper_id, cast((l_partkey-1)%8+1 as int) page_number,
-          row_number() over (partition by l_partkey order by l_orderkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) component_no,
+        select cast(floor(doc/8) as bigint) paper_id, cast(doc%8+1 as int) page_number,
+          row_number() over (partition by doc order by l_partkey, l_orderkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) component_no,
           cast((l_suppkey*37)%940 as int) x, cast((l_orderkey*13)%1340 as int) y,
           cast(4+l_linenumber*7 as int) width, cast(4+cast(l_quantity as int)%30 as int) height,
           cast(12+l_quantity*l_linenumber as double) contour_area,
           cast((l_orderkey*7)%101 as double)/400 chroma, cast((l_suppkey*13)%101 as double)/500 saturation,
           cast((l_partkey*29)%101 as double)/1000 edge, cast((l_orderkey*3)%101 as double)/100 whitespace,
           cast(l_orderkey%5 as int) angled
-        from lineitem where exists (select 1 from documents where doc_id=l_partkey-1)""",
+        from (select *, l_partkey%(select count(*) from documents) doc from lineitem)""",
+    # Every prediction stays; some are moved off their page, where they overlap nothing.
+    "fx_predictions": "select * replace (case when hx%5=0 then px+1000 else px end as px) from fx_numbered_boxes",
     "fx_numbered_boxes": """
         select l_orderkey sample_id,
           cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as int) box_idx,
@@ -211,15 +212,14 @@ class Fixtures:
         return (
             self.table("documents")
             .select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
-            .where((F.col("doc_id") + F.col("k")) % 11 != 0)
             .select(
                 "doc_id",
                 *self.page_key(),
                 "k",
                 _int("2*(doc_id%8)+k").alias("true_number"),
                 F.expr(
-                    "case (doc_id+k)%6 when 0 then 'Test' when 1 then 'TEST' when 2 then 'lest' "
-                    "when 3 then 'Test' when 4 then 'Text' else 'Best1' end"
+                    "case when (doc_id+k)%11=0 then 'zzzz' else case (doc_id+k)%6 when 0 then 'Test' when 1 then 'TEST' "
+                    "when 2 then 'lest' when 3 then 'Test' when 4 then 'Text' else 'Best1' end end"
                 ).alias("kw"),
                 F.expr(f"case when (doc_id+k)%5=0 then replace({number},'0','O') else {number} end").alias("num"),
                 _int("60+(doc_id%9)*80").alias("x"),
@@ -294,13 +294,12 @@ class Fixtures:
     def components(self) -> DataFrame:
         from pyspark.sql import Window
 
-        order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
-        docs = self.table("documents").select((F.col("doc_id") + 1).alias("l_partkey"))
+        order = Window.partitionBy("_doc").orderBy("l_partkey", "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
         return (
             self.table("lineitem")
-            .join(docs, "l_partkey", "left_semi")
+            .withColumn("_doc", F.col("l_partkey") % F.lit(self.table("documents").count()))
             .select(
-                *self.page_key("l_partkey-1"),
+                *self.page_key("_doc"),
                 F.row_number().over(order).cast("long").alias("component_no"),
                 F.struct(
                     _int("(l_suppkey*37)%940").alias("x"), _int("(l_orderkey*13)%1340").alias("y"),
@@ -338,6 +337,13 @@ class Fixtures:
     def predicted_boxes(self) -> DataFrame:
         return self.boxes().select("sample_id", F.col("box_idx").alias("predicted_idx"), "predicted_box")
 
+    def moved_predictions(self) -> DataFrame:
+        """Every predicted box, some moved off their page, where they overlap nothing."""
+        p = F.col("predicted_box")
+        x = F.when(F.col("human_box.x") % 5 == 0, p["x"] + 1000).otherwise(p["x"])
+        box = F.struct(x.alias("x"), p["y"].alias("y"), p["width"].alias("width"), p["height"].alias("height"))
+        return self.boxes().select("sample_id", F.col("box_idx").alias("predicted_idx"), box.alias("predicted_box"))
+
     def guides(self) -> DataFrame:
         return self.table("lineitem").select(
             F.col("l_orderkey").alias("paper_id"), F.lit(1).alias("page_number"), F.lit(1).alias("test_number"),

@@ -329,7 +329,7 @@ def _(fx):
 
 @query("e13_evaluate_evidence", f"""with {_ROWS},
     s as (select count(*) sample_count, round(count(*) filter (where class_correct)/cast(count(*) as double),9) overall_accuracy from rows_),
-    t as (select (select count(*) from fx_numbered_boxes) h, (select count(*) from fx_numbered_boxes where hx%5<>0) p, (select count(*) from matches where threshold=0.5e0) m50, (select count(*) from matches where threshold=0.25e0) m25)
+    t as (select (select count(*) from fx_numbered_boxes) h, (select count(*) from fx_predictions) p, (select count(*) from matches where threshold=0.5e0) m50, (select count(*) from matches where threshold=0.25e0) m25)
     select sample_count, overall_accuracy, h human_box_count, p predicted_box_count, m50 matched_at_50, round(2*m50/cast(p+h as double),9) f1_at_50, m25 matched_at_25, round(2*m25/cast(p+h as double),9) f1_at_25 from s, t""")
 def _(fx):
     samples = fx.human_boxes().select("sample_id").distinct().select(
@@ -337,8 +337,8 @@ def _(fx):
     )
     kinds = F.array(*[F.lit(k) for k in ("printed", "student_candidate", "teacher_candidate", "unknown")])
     annotations = samples.select("sample_id", F.element_at(kinds, (F.col("sample_id") * 3 % 4 + 1).cast("int")).alias("evidence_type"), F.lit("annotated").alias("answer_status"))
-    answers = fx.boxes().where("human_box.x % 5 <> 0").select(
-        "sample_id", F.col("box_idx").alias("answer_no"),
+    answers = fx.moved_predictions().select(
+        "sample_id", F.col("predicted_idx").alias("answer_no"),
         B.box(F.col("predicted_box.x") + 100, F.col("predicted_box.y") + 50, F.col("predicted_box.width"), F.col("predicted_box.height")).alias("box"),
     )
     r = V.evaluate_evidence(samples, annotations, fx.human_boxes(), typed_boxes(fx), answers)

@@ -225,11 +225,12 @@ def _(fx):
 
 
 @query("s13_labelling_worksheet", """
-    with s as (select conv_id, turn, concat_ws(chr(10), '## sample_'||turn, '', 'Paper alias: paper-a', 'Page: '||turn, 'Test: 07', 'Selection categories: x, '||role, 'Page region: 1,2,'||turn||',4', 'Ground-truth evidence class:',
-      'Answer regions (crop-relative x,y,width,height; use [] if none):', 'Human verification state: pending', 'Notes:', '') sec from conversations where turn%3<>0)
+    with s as (select conv_id, turn, concat_ws(chr(10), '## sample_'||turn, '', 'Paper alias: paper-a', 'Page: '||turn, 'Test: 07', 'Selection categories: x, '||role, 'Page region: '||(case when turn%3<>0 then '1,2,'||turn||',4' else '0,0,1000,1400' end), 'Ground-truth evidence class:',
+      'Answer regions (crop-relative x,y,width,height; use [] if none):', 'Human verification state: pending', 'Notes:', '') sec from conversations)
     select conv_id, md5(string_agg(sec, chr(10) order by turn)) digest from s group by 1""")
 def _(fx):
-    sheets = M.render_worksheet(worksheet_samples(fx).where("region is not null"), ["conv_id"], M.labelling_section())
+    whole = F.struct(*[F.lit(v).alias(n) for n, v in zip(("x", "y", "width", "height"), (0, 0, 1000, 1400), strict=True)])
+    sheets = M.render_worksheet(worksheet_samples(fx).withColumn("region", F.coalesce("region", whole)), ["conv_id"], M.labelling_section())
     return sheets.select("conv_id", F.md5(F.col("worksheet").cast("binary")).alias("digest"))
 
 

@@ -308,10 +308,14 @@ def stratified(rows: DataFrame) -> DataFrame:
 def evaluate_evidence(samples: DataFrame, annotations: DataFrame, human: DataFrame, evidence: DataFrame, answers: DataFrame) -> dict[str, DataFrame]:
     """All evidence metrics of one benchmark; ids must line up before numbers mean anything.
 
+    Samples and annotations that do not cover each other are refused with a ``ValueError``.
     ``samples``: sample_id, region, categories. ``annotations``: sample_id, evidence_type,
     answer_status. ``human``: sample_id, human_idx, human_box. ``evidence``: sample_id,
     evidence_type, box. ``answers``: sample_id, answer_no, box (page coordinates).
     """
+    apart = {r["problem"]: r["n"] for r in coverage(samples, annotations, "sample_id").groupBy("problem").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if apart:
+        raise ValueError("samples and annotations differ: " + ", ".join(f"{k} {v}" for k, v in sorted(apart.items())))
     classes = dominant_class(samples, evidence)
     relative, outside = crop_relative_boxes(samples, answers)
     predicted = relative.select(
@@ -322,7 +326,6 @@ def evaluate_evidence(samples: DataFrame, annotations: DataFrame, human: DataFra
     rows = cut_lineage(sample_rows(labels, classes, human, predicted, matches))
     cells = confusion_cells(rows.select(F.col("evidence_type").alias("human"), F.col("predicted_class").alias("predicted")))
     return {
-        "coverage": coverage(samples, annotations, "sample_id"),
         "violations": outside,
         "cells": cells,
         "classes": class_metrics(cells),

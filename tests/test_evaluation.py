@@ -1,5 +1,6 @@
 """Hand-computed evaluation numbers."""
 
+import pytest
 from scriptorium.plans import evaluation as V
 from scriptorium.operators.summaries import exact_medians
 from pyspark.sql import functions as F
@@ -68,3 +69,12 @@ def test_summary_keeps_failures(spark):
     scored = V.score_ocr(samples, results).withColumn("preprocessing_ms", F.lit(None).cast("double"))
     s = V.summarize_ocr(scored).first()
     assert (s.total_samples, s.successful_samples, s.failed_samples, s.mean_wer, s.median_wer) == (2, 1, 1, 0.5, 0.5)
+
+
+def test_ids_that_do_not_line_up_are_refused(spark):
+    box = "struct<x:int,y:int,width:int,height:int>"
+    samples = spark.createDataFrame([(1, (0, 0, 9, 9), ["c"]), (2, (0, 0, 9, 9), ["c"])], f"sample_id int, region {box}, categories array<string>")
+    annotations = spark.createDataFrame([(1, "printed", "verified_empty"), (3, "printed", "verified_empty")], "sample_id int, evidence_type string, answer_status string")
+    none = spark.createDataFrame([], f"sample_id int, human_idx int, human_box {box}")
+    with pytest.raises(ValueError, match="missing 1, unexpected 1"):
+        V.evaluate_evidence(samples, annotations, none, none, none)
