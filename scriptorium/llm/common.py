@@ -30,7 +30,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read again: survives lost executors."""
-    return df.sparkSession.read.parquet(written(df))
+    path = written(df)
+    out = df.sparkSession.read.parquet(path)
+    out._stored_at = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for these tables; nothing that is still to run may read them."""
+    for table in tables:
+        spark, path = table.sparkSession, table._stored_at
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame) -> str:

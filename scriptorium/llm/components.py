@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import stored
+from scriptorium.llm.common import free, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,8 +23,11 @@ def components(links: DataFrame) -> DataFrame:
         before = tuple(mark)
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        edges = stored(both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = stored(both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        free(edges)
+        edges = large
         low = edges.groupBy("a").agg(F.min("b").alias("m"))
         joined = edges.join(low, "a")
         edges = stored(joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).distinct())
+        free(large)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -10,8 +10,8 @@ as the windows that chose them, and grouped by the whole run. Every run but the
 the input, so the result does not depend on the order of deletion.
 
 A line is a whole paragraph, so long passages may have fewer than ``run`` lines. With ``words``,
-windows of fewer lines count too when they hold more words than that. ``op7`` keeps to runs of
-lines, which its SQL states; the pipeline uses both.
+windows of fewer lines count too when they hold more words than that, as in ``op7`` and the
+pipeline.
 
 No pair of occurrences is formed: groups keep their smallest place with partial aggregation,
 so a passage in a third of all rows costs one row per task.
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import bind, stored
 
 RUN = 3
+#: White space that does not count at the ends of a line.
+OUTER = " \t\r\f\x0b"
 #: A passage: a run of fewer lines counts as a repeat when it holds more words than this.
 PASSAGE_WORDS = 50
 
@@ -38,8 +40,8 @@ def line_windows(docs: DataFrame, run: int = RUN, words: int | None = None) -> D
 
     With ``words`` also those of fewer lines that hold more words than that.
     """
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?m)^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "")
-    lines = docs.select("doc_id", F.filter(F.split(text, "\n"), lambda x: x != "").alias("lines")).filter(F.size("lines") >= (run if words is None else 1))
+    trimmed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(OUTER)))
+    lines = docs.select("doc_id", F.filter(trimmed, lambda x: x != "").alias("lines")).filter(F.size("lines") >= (run if words is None else 1))
     def make(h):
         def window(i, n):
             part = F.slice(h, i, n)
@@ -81,7 +83,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> Da
     parts = F.split("text", "\n")
     held = held.withColumn("_parts", parts)
     numbered = bind(
-        F.transform("_parts", lambda x: F.when(F.regexp_replace(x, r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "") == "", 0).otherwise(1)),
+        F.transform("_parts", lambda x: F.when(F.btrim(x, F.lit(OUTER)) == "", 0).otherwise(1)),
         lambda flags: F.filter(F.transform(F.sequence(F.lit(0), F.size(flags) - 1), lambda i: F.when(flags[i] == 1, i)), lambda i: i.isNotNull()),
     )
     held = held.withColumn("_real", F.when(F.col("text").isNotNull(), numbered))
@@ -99,12 +101,16 @@ with l as (
   from documents where text is not null
 ), t as (select doc_id, ln, line, regexp_replace(line, '^[ \\t\\r\\f\\x0B]+|[ \\t\\r\\f\\x0B]+$', '', 'g') as k from l
 ), r as (select doc_id, ln, line, k, row_number() over (partition by doc_id order by ln) - 1 as pos from t where k <> ''
+), c as (
+  select doc_id, pos, k, len(string_split_regex(k, '[ \\t\\r\\f\\x0B]+')) as words from r
 ), w as (
-  select doc_id, pos, k || chr(10) || lead(k, 1) over p || chr(10) || lead(k, 2) over p as whole from r window p as (partition by doc_id order by pos)
+  select doc_id, pos, 3 as n, k || chr(10) || lead(k, 1) over p || chr(10) || lead(k, 2) over p as whole from c window p as (partition by doc_id order by pos)
+  union all select doc_id, pos, 1, k from c where words > 50
+  union all select * from (select doc_id, pos, 2, case when words + lead(words, 1) over p > 50 then k || chr(10) || lead(k, 1) over p end as whole from c window p as (partition by doc_id order by pos))
 ), f as (
-  select doc_id, pos, row_number() over (partition by whole order by doc_id, pos) as rn from w where whole is not null
+  select doc_id, pos, n, row_number() over (partition by whole order by doc_id, pos) as rn from w where whole is not null
 ), g as (
-  select distinct r.doc_id, r.ln from r join f on r.doc_id = f.doc_id and r.pos between f.pos and f.pos + 2 where f.rn > 1
+  select distinct r.doc_id, r.ln from r join f on r.doc_id = f.doc_id and r.pos between f.pos and f.pos + f.n - 1 where f.rn > 1
 ), kept as (
   select t.doc_id, string_agg(t.line, chr(10) order by t.ln) as text from t anti join g on t.doc_id = g.doc_id and t.ln = g.ln group by t.doc_id
 )"""

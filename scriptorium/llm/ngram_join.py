@@ -14,8 +14,10 @@ Candidates are verified on whole sets. Near copies in large groups share most of
 to form no pair twice over, members of a key are first compared with its smallest set, and
 pairs are made afterwards only across components that this leaves apart.
 
-Empty and null texts have the empty set and are linked with nothing. doc_id is a key;
-repeated rows collapse like copies and each give their row. Other columns are not read.
+Empty and null texts have the empty set and are linked with nothing. doc_id is a number;
+repeated rows collapse like copies and each give their row. Rows of one doc_id with different
+texts belong to one component. Rows without doc_id have no component, unless their text is that
+of a document with one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bind, stored, words
+from scriptorium.llm.common import bind, free, stored, words
 from scriptorium.llm.components import components
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -135,14 +137,21 @@ def fitting(left: str, right: str) -> Column:
     return (F.col(right) <= F.col(left)) & (5 * F.col(right).cast("long") >= 4 * F.col(left).cast("long"))
 
 
-def similar_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def links_and_classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, members, classes): verified links (a, b) between ids, each row's class, each class's smallest doc_id.
+
+    A doc_id with several texts is one node: it stands in several classes, which it links.
+    """
     every = docs.select("doc_id", shingle_set(F.col("text"), size).alias("tokens"))
-    every = every.select("doc_id", "tokens", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"))
+    every = stored(every.select("doc_id", "tokens", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2")))
     members = stored(every.select("doc_id", "n", "h1", "h2"))
-    classes = members.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"))
-    classes = stored(classes)
-    sets = stored(every.join(classes.select(F.col("id").alias("doc_id"), F.lit(1).alias("_")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("long").alias("id"), "n", "tokens"))
+    classes = stored(members.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id")))
+    own = classes.select("n", "h1", "h2", F.col("id").alias("doc_id"))
+    sets = stored(every.join(own, ["doc_id", "n", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "n", "h1", "h2"]).select(F.col("doc_id").cast("long").alias("id"), "n", "tokens"))
+    free(every)
+    of = members.filter("n > 0").join(classes, ["n", "h1", "h2"]).groupBy("doc_id", "id").agg(F.lit(1).alias("_"))
+    several = of.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("doc_id")
+    shared = stored(of.join(several, "doc_id").select(F.col("doc_id").cast("long").alias("a"), F.col("id").cast("long").alias("b")).filter("a <> b"))
     ends = bands(sets.agg(F.max("n")).first()[0] or 1)
     index = stored(keys(sets, ends))
     frequency = np.zeros(SLOTS, np.int64)
@@ -152,7 +161,8 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     hubs = index.groupBy("key").agg(F.min(F.struct("n", "id")).alias("hub"), F.count("*").alias("c")).select("key", F.col("hub.n").alias("m"), F.col("hub.id").alias("b"), "c")
     first = stored(probe.join(hubs, "key").filter("c > 1 or id <> b").select("key", F.col("id").alias("a"), "n", "b", "m", "c"))
-    links = stored(verified(first.filter((F.col("a") != F.col("b")) & fitting("n", "m")).select("a", "b"), sets))
+    free(probe)
+    links = stored(verified(first.filter((F.col("a") != F.col("b")) & fitting("n", "m")).select("a", "b"), sets).unionAll(shared))
     groups = stored(components(links))
 
     # keys whose members still lie in different components
@@ -163,14 +173,21 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     index2 = placed(index.join(crowded, "key", "left_semi"))
     probe2 = placed(first.filter("c > 1").select("key", F.col("a").alias("id"), "n"))
     both = stored(index2.withColumn("side", F.lit(0)).select("key", "id", "n", "component", "side").unionAll(probe2.withColumn("side", F.lit(1)).select("key", "id", "n", "component", "side")))
+    free(index, first, groups, shared)
     apart = both.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    both = both.join(apart, "key", "left_semi")
-    left = both.filter("side = 1").select("key", F.col("id").alias("a"), "n", F.col("component").alias("ca"))
-    right = both.filter("side = 0").select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
+    near = both.join(apart, "key", "left_semi")
+    left = near.filter("side = 1").select("key", F.col("id").alias("a"), "n", F.col("component").alias("ca"))
+    right = near.filter("side = 0").select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
     rest = left.join(right, (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & fitting("n", "m")).select("a", "b")
-    links = links.unionAll(stored(verified(rest, sets)))
-    groups = components(links)
+    more = stored(verified(rest, sets))
+    free(both, sets)
+    return links.unionAll(more), members, classes
 
+
+def similar_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    links, members, classes = links_and_classes(docs, size)
+    groups = components(links)
     found = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").select("n", "h1", "h2", F.coalesce("component", F.col("id")).alias("component"))
     out = members.join(found, ["n", "h1", "h2"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

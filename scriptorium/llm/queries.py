@@ -42,7 +42,7 @@ def op6_license_scan(spark, sf_dir):
 
 
 def op7_line_dedup(spark, sf_dir):
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), words=line_dedup.PASSAGE_WORDS)
     return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

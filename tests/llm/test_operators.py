@@ -197,7 +197,7 @@ def sql(docs, name):
 
 def test_line_dedup(docs, none):
     expected = sql(docs, "op7_line_dedup")
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, words=line_dedup.PASSAGE_WORDS)
     assert out.columns.count("n_lines") == 1
     got = {r.doc_id: (r.n_lines, r.n_removed_lines, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in out.collect()}
     assert got == expected and sum(g[1] for g in got.values()) > 0
@@ -218,6 +218,26 @@ def passages_removed(texts, run, words):
     return {i: (len(later[i]), t if not later[i] else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in later[i])) for i, t in texts.items()}
 
 
+def test_line_ends_inside_lines(spark):
+    # Carriage returns and Unicode line separators inside a line are part of it.
+    for inner in ("\r", "\u2028", "\x85"):
+        texts = [f"c {inner} d\nx\ny", f"c{inner}d\nx\ny", f" c {inner} d \nx\ny\t"]
+        frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+        expected = sql(frame, "op7_line_dedup")
+        got = {r.doc_id: (r.n_lines, r.n_removed_lines) for r in line_dedup.dedup_lines(frame, words=line_dedup.PASSAGE_WORDS).collect()}
+        assert got == {0: (3, 0), 1: (3, 0), 2: (3, 3)}
+        assert {k: v[:2] for k, v in expected.items()} == got
+
+
+def test_rows_of_one_doc_id_are_one_node(spark):
+    w = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    a, b, c = w("a"), w("b"), w("c")
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (5, c), (5, a + " y"), (6, c + " z"), (7, w("d")), (7, w("d")), (None, a), (None, w("e")), (8, None), (8, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.component_id) for r in ngram_join.similar_groups(frame).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (7, 7), (None, 1), (None, None), (8, 8)}
+
+
 def test_line_dedup_of_short_long_passages(spark):
     line, half = " ".join(f"a{i}" for i in range(51)), [" ".join(f"{c}{i}" for i in range(26)) for c in "bc"]
     few = " ".join(f"d{i}" for i in range(50))
@@ -387,6 +407,21 @@ def test_counterfactual_penalty_narrows_scores():
     assert abs(held[0] - held[1]) < abs(free[0] - free[1])
 
 
+def test_pipeline_keeps_rows_without_ids_and_one_of_each_copy(spark):
+    import corpus_pipeline as P
+
+    w = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, w("a"), "en", "s", 9), (1, w("a"), "en", "s", 9), (2, w("a") + " z", "en", "s", 9), (None, w("a"), "en", "s", 9), (None, w("b"), "en", "s", 9), (None, w("b") + " z", "en", "s", 9), (None, w("c"), "en", "s", 9), (4, None, "en", "s", 0), (5, "", "en", "s", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or -1, (r.text or "")[:1]) for r in P.drop_near_copies(spark, frame, "").collect()))
+    assert got == [(-1, "b"), (-1, "c"), (1, "a"), (4, ""), (5, "")]
+    assert P.drop_near_copies(spark, frame.limit(0), "").count() == 0
+    passage = "\n".join(" ".join(f"w{n}{i}" for i in range(30)) for n in range(3))
+    shared = spark.createDataFrame([(None, passage + "\nfirst", "en", "s", 9), (3, passage + "\nsecond", "en", "s", 9)], frame.schema)
+    out = {r.doc_id: r.text for r in P.dedup_lines(spark, shared, "").collect()}
+    assert out == {3: passage + "\nsecond", None: "first"}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
