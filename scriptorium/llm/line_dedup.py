@@ -3,11 +3,11 @@
 Lines are split at line feeds and compared without outer white space; blank lines keep their
 place in the text but do not count. Among every ``run`` consecutive lines the smallest line
 hash (the rightmost among equals) is the window's fingerprint, so any two equal runs of that
-many lines select the same one: no repeat is missed. Fingerprints that occur once end there.
-The others are joined by position: the matches they belong to are extended both ways, as far
-as the windows that chose them, and grouped by the whole run. Every run but the first in
-(doc_id, line) order is deleted; overlapping runs unite to longer ones. Repeats are judged on
-the input, so the result does not depend on the order of deletion.
+many lines select the same one: no repeat is missed. Only the selected lines are stored and
+counted; those whose fingerprint occurs once end there. The places of the others are extended
+both ways to the windows that selected them, and these are matched by the digest of the whole
+run. Every run but the first in (doc_id, line) order is deleted; overlapping runs unite to
+longer ones. Repeats are judged on the input, so the order of deletion does not matter.
 
 A line is a whole paragraph, so long passages may have fewer than ``run`` lines. With ``words``,
 windows of fewer lines count too when they hold more words than that, as in ``op7`` and the
@@ -35,40 +35,52 @@ OUTER = " \t\r\f\x0b"
 PASSAGE_WORDS = 50
 
 
-def line_windows(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
-    """(doc_id, at, n, fingerprint, whole): windows of ``n`` = ``run`` non-blank lines; ``at`` counts them from 0.
+def fingerprints(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(doc_id, n, fingerprint, windows): the lines that windows of ``n`` = ``run`` non-blank lines select.
 
-    With ``words`` also those of fewer lines that hold more words than that.
+    A row is a line whose hash is the smallest (the rightmost among equals) of one or more windows;
+    ``windows`` tells where these begin, counting non-blank lines from 0, and the digest of each.
+    With ``words`` also of windows of fewer lines that hold more words than that.
     """
     trimmed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(OUTER)))
     lines = docs.select("doc_id", F.filter(trimmed, lambda x: x != "").alias("lines")).filter(F.size("lines") >= (run if words is None else 1))
-    def make(h):
-        def window(i, n):
-            part = F.slice(h, i, n)
-            return F.struct((i - 1).alias("at"), F.lit(n).alias("n"), F.array_min(part).alias("fingerprint"))
+    hashed = lines.select("doc_id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("hs"), F.transform("lines", lambda x: F.size(F.split(x, r"[ \t\r\f\x0B]+"))).alias("sizes"))
 
-        def windows(n):
-            return F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), lambda i: window(i, n))).otherwise(F.array())
+    def selected(n):
+        """For each window of ``n`` lines the place of its fingerprint, NULL for windows that do not count."""
+        def place(i):
+            part = F.reverse(F.slice("hs", i, n))
+            return i + n - F.array_position(part, F.array_min(part)).cast("int")
 
-        if words is None:
-            return windows(run)
-        size = F.transform("lines", lambda x: F.size(F.split(x, r"[ \t\r\f\x0B]+")))
-        long = [bind(size, lambda c: F.filter(windows(n), lambda w: F.aggregate(F.slice(c, w["at"] + 1, n), F.lit(0), lambda x, y: x + y) > words)) for n in range(1, run)]
-        return F.concat(windows(run), *long)
+        at = F.sequence(F.lit(1), F.size("hs") - n + 1)
+        if n == run:
+            found = F.transform(at, place)
+        else:
+            found = F.transform(at, lambda i: F.when(F.aggregate(F.slice("sizes", i, n), F.lit(0), lambda x, y: x + y) > words, place(i)))
+        return F.when(F.size("hs") >= n, found).otherwise(F.array().cast("array<int>"))
 
-    places = lines.select("doc_id", "lines", bind(F.transform("lines", lambda x: F.xxhash64(x)), make).alias("ws"))
-    whole = F.transform("ws", lambda w: F.struct(w["at"].alias("at"), w["n"].alias("n"), w["fingerprint"].alias("fingerprint"), F.md5(F.concat_ws("\n", F.slice("lines", w["at"] + 1, w["n"]))).alias("whole")))
-    one = places.select("doc_id", F.explode(whole).alias("w"))
-    return one.select("doc_id", "w.at", "w.n", "w.fingerprint", "w.whole")
+    def rows(n):
+        def chosen(places):
+            def row(m):
+                at = F.filter(F.sequence(F.greatest(m - n + 1, F.lit(1)), F.least(m, F.size(places))), lambda i: places[i - 1] == m)
+                whole = F.transform(at, lambda i: F.struct((i - 1).alias("at"), F.unhex(F.md5(F.concat_ws("\n", F.slice("lines", i, n)))).alias("whole")))
+                return F.struct(F.lit(n).alias("n"), F.get("hs", m - 1).alias("fingerprint"), whole.alias("windows"))
+
+            return F.transform(F.array_compact(F.array_distinct(places)), row)
+
+        return bind(selected(n), chosen)
+
+    every = F.concat(*[rows(n) for n in range(run if words is None else 1, run + 1)])
+    return hashed.select("doc_id", F.inline(every))
 
 
 def repeated_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """(doc_id, starts): windows (at, n) that also occur at an earlier place."""
-    windows = stored(line_windows(docs, run, words))
-    shared = windows.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
-    candidates = windows.join(shared, "fingerprint", "left_semi")
-    first = candidates.groupBy("whole").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("whole", "first")
-    later = candidates.join(first, "whole").filter(F.struct("doc_id", "at") > F.col("first"))
+    chosen = stored(fingerprints(docs, run, words))
+    shared = chosen.groupBy("n", "fingerprint").agg(F.count("*").alias("c")).filter("c > 1").select("n", "fingerprint")
+    matches = chosen.join(shared, ["n", "fingerprint"], "left_semi").select("doc_id", "n", F.inline("windows"))
+    first = matches.groupBy("whole").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("whole", "first")
+    later = matches.join(first, "whole").filter(F.struct("doc_id", "at") > F.col("first"))
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("starts"))
 
 
