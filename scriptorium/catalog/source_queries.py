@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.catalog.registry import query
 from scriptorium.functions import ids
+from scriptorium.functions import boxes as B
+from scriptorium.operators import entities as EN
 from scriptorium.operators import rules as RU
 from scriptorium.operators.joins import status_compare
 from scriptorium.session import checkpoint_dir
@@ -126,6 +128,32 @@ def _(fx):
     )
 
 
+@query("s9_entity_rules", """
+    with c as (select 'c'||conv_id||'_'||turn sample_id, turn, role, conv_id%3 st, case when conv_id%3=0 and turn%2=1 then null when conv_id%3=2 and turn%2=0 then '' else text end body from conversations),
+    l as (select l_orderkey||'-'||l_linenumber sample_id, l_linenumber%2=0 ok, case when l_quantity%7<>0 then 'x' end prediction, case when l_partkey%11=0 then 'e' end error from lineitem)
+    select 'ocr_sample' entity, sample_id, unnest(list_filter([case when turn<=0 then 'positive_page' end, case when turn*10+50>100 then 'region_inside_page' end, case when not regexp_matches(role, '^[a-z0-9][a-z0-9_-]{2,63}$') then 'safe_categories' end,
+      case when st=0 and body is not null then 'pending_state' end, case when st=1 and (body is null or regexp_matches(body,'^\s*$')) then 'verified_state' end, case when st=2 and body<>'' then 'verified_empty_state' end], lambda v: v is not null)) "rule" from c
+    union all select 'ocr_sample', sample_id, 'unique_id' from c group by sample_id having count(*)>1
+    union all select 'ocr_result', sample_id, case when ok then 'success_state' else 'failure_state' end from l where case when ok then prediction is null or error is not null else error is null or prediction is not null end
+    union all select 'ocr_result', sample_id, 'unique_id' from l group by sample_id having count(*)>1""")
+def _(fx):
+    c, state, odd = fx.table("conversations"), F.col("conv_id") % 3, F.col("turn") % 2
+    number = lambda v: F.lit(v)
+    samples = c.select(
+        F.concat(F.lit("c"), F.col("conv_id"), F.lit("_"), F.col("turn")).alias("sample_id"), F.lit("paper-a").alias("paper_alias"), F.col("turn").alias("page_number"), number(100).alias("page_width"), number(200).alias("page_height"),
+        F.array("role").alias("categories"), B.box(F.col("turn") * 10, number(0), number(50), number(50)).alias("region"),
+        F.when(state == 0, "pending").when(state == 1, "verified").otherwise("verified_empty").alias("ground_truth_status"),
+        F.when((state == 0) & (odd == 1), None).when((state == 2) & (odd == 0), "").otherwise(F.col("text")).alias("ground_truth_text"),
+    )
+    ok, said = F.col("l_linenumber") % 2 == 0, F.col("l_quantity") % 7 != 0
+    results = fx.table("lineitem").select(
+        F.concat("l_orderkey", F.lit("-"), "l_linenumber").alias("sample_id"), F.when(ok, "success").otherwise("failure").alias("status"), F.when(said, "x").alias("prediction"), F.when(ok, 0.5).alias("cer"), F.when(ok, 0.5).alias("wer"),
+        F.when(ok, F.col("l_extendedprice")).alias("duration_ms"), F.when(F.col("l_partkey") % 11 == 0, "e").alias("error"), F.lit(None).cast("string").alias("evidence"), F.lit(None).cast("string").alias("preprocessing"),
+    )
+    out = [EN.violations(df, entity).select(F.lit(entity.name).alias("entity"), "sample_id", "rule") for df, entity in ((samples, EN.ocr_sample()), (results, EN.ocr_result()))]
+    return out[0].unionByName(out[1])
+
+
 @query("s9_unique_and_sorted_ids", """
     with u as (select l_orderkey, l_linenumber from lineitem group by all having count(*)>1),
     o as (select o_custkey, o_totalprice, lag(o_totalprice) over (partition by o_custkey order by o_orderkey) p from orders)
