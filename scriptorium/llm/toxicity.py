@@ -97,34 +97,69 @@ def choose(train: DataFrame, features: int = FEATURES) -> list[str]:
     return [r["word"] for r in top.collect()]
 
 
-def fit(x: np.ndarray, twin: np.ndarray, y: np.ndarray, penalty: float = PENALTY, ridge: float = RIDGE, steps: int = 400, *more: np.ndarray) -> np.ndarray:
+class Rows:
+    """A sparse matrix: for each entry its row, its column and its value. Only what is not 0 is held."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int):
+        self.row, self.column, self.value, self.n = row.astype(np.int32), column.astype(np.int32), value, n
+
+    @classmethod
+    def of(cls, x: "Rows | np.ndarray") -> "Rows":
+        if isinstance(x, Rows):
+            return x
+        row, column = np.nonzero(x)
+        return cls(row, column, x[row, column], len(x))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """Scores; the last weight is the intercept."""
+        return np.bincount(self.row, self.value * w[self.column], self.n) + w[-1]
+
+    def back(self, r: np.ndarray, size: int) -> np.ndarray:
+        out = np.bincount(self.column, self.value * r[self.row], size)
+        out[-1] += r.sum()
+        return out
+
+    def only(self, at: np.ndarray) -> "Rows":
+        place = np.full(self.n, -1)
+        place[at] = np.arange(len(at))
+        kept = place[self.row] >= 0
+        return Rows(place[self.row[kept]], self.column[kept], self.value[kept], len(at))
+
+
+def fit(x: Rows | np.ndarray, twin, y: np.ndarray, penalty: float = PENALTY, ridge: float = RIDGE, steps: int = 400, *more, features: int | None = None) -> np.ndarray:
     """Weights (last: intercept) of least log loss + ridge + penalty * squared score changes to ``twin`` and ``more``.
 
     Twins are matrices of all rows, or pairs of row numbers and the matrix of those; rows left out are equal.
     """
-    n = len(y)
-    x1, twins = np.c_[x, np.ones(n)], []
+    size = 1 + (features if features is not None else x.shape[1])
+    x, n = Rows.of(x), len(y)
+    twins = []
     for at, t in (t if isinstance(t, tuple) else (np.arange(n), t) for t in (twin, *more)):
-        twins.append((at, np.c_[t, np.ones(len(t))], x1[at]))
-    w = np.zeros(x1.shape[1])
+        twins.append((at, Rows.of(t), x.only(at)))
+    w = np.zeros(size)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        grad = x1.T @ (p - y)
-        for at, t1, own in twins:
-            o, q = p[at], 1 / (1 + np.exp(-np.clip(t1 @ w, -30, 30)))
-            grad += 2 * penalty * (own.T @ ((o - q) * o * (1 - o)) - t1.T @ ((o - q) * q * (1 - q)))
+        p = 1 / (1 + np.exp(-np.clip(x.times(w), -30, 30)))
+        grad = x.back(p - y, size)
+        for at, t, own in twins:
+            o, q = p[at], 1 / (1 + np.exp(-np.clip(t.times(w), -30, 30)))
+            grad += 2 * penalty * (own.back((o - q) * o * (1 - o), size) - t.back((o - q) * q * (1 - q), size))
         grad[:-1] += ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w
 
 
-def matrix(bags: list[list[str]], index: dict[str, int]) -> np.ndarray:
-    out = np.zeros((len(bags), len(index)))
-    for row, words in enumerate(bags):
-        out[row, [index[w] for w in words if w in index]] = 1.0
-    return out
+def matrix(bags: Iterator[list[str]], index: dict[str, int]) -> Rows:
+    """A row per bag, with ones at its words."""
+    rows, columns, n = [], [], 0
+    for words in bags:
+        own = np.fromiter({index[w] for w in words if w in index}, np.int32)
+        rows.append(np.full(len(own), n, np.int32))
+        columns.append(own)
+        n += 1
+    row = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    return Rows(row, np.concatenate(columns) if rows else row, np.ones(len(row)), n)
 
 
 def learn(docs: DataFrame, labels: DataFrame, features: int = FEATURES, rows: int = ROWS, penalty: float = PENALTY) -> tuple[dict[str, int], np.ndarray]:
@@ -135,14 +170,15 @@ def learn(docs: DataFrame, labels: DataFrame, features: int = FEATURES, rows: in
         return {}, np.zeros(1)
     index = {w: i for i, w in enumerate(dict.fromkeys([*words, *SWAP]))}
     own, *changed = (F.filter(bag(F.col("text"), change), lambda w: w.isin(list(index))) for change in (lambda w: w, swapped, without))
-    kept = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("toxic", own.alias("own"), *[F.when(own != b, b).alias(f"twin{i}") for i, b in enumerate(changed)]).toPandas()
+    kept = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("toxic", own.alias("own"), *[F.when(own != b, b).alias(f"twin{i}") for i, b in enumerate(changed)]).toArrow()
 
-    def twin(bags):
-        at = np.flatnonzero(bags.notna())
-        return at, matrix([list(bags.iloc[i]) for i in at], index)
+    def bags(name):
+        """The bags of a column, one after the other; only their sparse rows are kept."""
+        return (value.as_py() for value in kept[name] if value.is_valid)
 
-    twins = [twin(kept[f"twin{i}"]) for i in range(len(changed))]
-    return index, fit(matrix([list(b) for b in kept["own"]], index), twins[0], kept["toxic"].to_numpy(float), penalty, RIDGE, 400, *twins[1:])
+    twins = [(np.flatnonzero(kept[f"twin{i}"].is_valid().to_numpy()), matrix(bags(f"twin{i}"), index)) for i in range(len(changed))]
+    y = kept["toxic"].to_numpy().astype(float)
+    return index, fit(matrix(bags("own"), index), twins[0], y, penalty, RIDGE, 400, *twins[1:], features=len(index))
 
 
 def score(docs: DataFrame, model: tuple[dict[str, int], np.ndarray]) -> DataFrame:
