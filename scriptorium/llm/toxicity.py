@@ -170,7 +170,9 @@ def learn(docs: DataFrame, labels: DataFrame, features: int = FEATURES, rows: in
         return {}, np.zeros(1)
     index = {w: i for i, w in enumerate(dict.fromkeys([*words, *SWAP]))}
     own, *changed = (F.filter(bag(F.col("text"), change), lambda w: w.isin(list(index))) for change in (lambda w: w, swapped, without))
-    kept = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("toxic", own.alias("own"), *[F.when(own != b, b).alias(f"twin{i}") for i, b in enumerate(changed)]).toArrow()
+    # the sample is one partition after the limit; bags are made by all cores
+    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).repartition(2 * train.sparkSession.sparkContext.defaultParallelism)
+    kept = sample.select("toxic", own.alias("own"), *[F.when(own != b, b).alias(f"twin{i}") for i, b in enumerate(changed)]).toArrow()
 
     def bags(name):
         """The bags of a column, one after the other; only their sparse rows are kept."""
