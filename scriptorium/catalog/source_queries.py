@@ -132,7 +132,7 @@ def _(fx):
     with c as (select 'c'||conv_id||'_'||turn sample_id, turn, role, conv_id%3 st, case when conv_id%3=0 and turn%2=1 then null when conv_id%3=2 and turn%2=0 then '' else text end body from conversations),
     l as (select l_orderkey||'-'||l_linenumber sample_id, l_linenumber%2=0 ok, case when l_quantity%7<>0 then 'x' end prediction, case when l_partkey%11=0 then 'e' end error from lineitem)
     select 'ocr_sample' entity, sample_id, unnest(list_filter([case when turn<=0 then 'positive_page' end, case when turn*10+50>100 then 'region_inside_page' end, case when not regexp_matches(role, '^[a-z0-9][a-z0-9_-]{2,63}$') then 'safe_categories' end,
-      case when st=0 and body is not null then 'pending_state' end, case when st=1 and (body is null or regexp_matches(body,'^\s*$')) then 'verified_state' end, case when st=2 and body<>'' then 'verified_empty_state' end], lambda v: v is not null)) "rule" from c
+      case when st=0 and body is not null then 'pending_state' end, case when st=1 and (body is null or regexp_matches(body,'^\\s*$')) then 'verified_state' end, case when st=2 and body<>'' then 'verified_empty_state' end], lambda v: v is not null)) "rule" from c
     union all select 'ocr_sample', sample_id, 'unique_id' from c group by sample_id having count(*)>1
     union all select 'ocr_result', sample_id, case when ok then 'success_state' else 'failure_state' end from l where case when ok then prediction is null or error is not null else error is null or prediction is not null end
     union all select 'ocr_result', sample_id, 'unique_id' from l group by sample_id having count(*)>1""")
