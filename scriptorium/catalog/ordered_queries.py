@@ -9,13 +9,13 @@ from scriptorium.catalog.registry import query
 from scriptorium.catalog.sqltext import crop, iou
 from scriptorium.functions import boxes as B
 from scriptorium.operators import sequences as Q
-from scriptorium.operators.matching import match_boxes, match_in_truth_order
+from scriptorium.operators.matching import match_boxes
 from scriptorium.operators.ranking import number_by_row, top_n
 from scriptorium.operators.rules import page_sequence_ok
 from scriptorium.plans import evidence as E
 from scriptorium.plans import sampling as P
 from scriptorium.plans import structure as R
-from scriptorium.plans.evaluation import marker_edges, ordering_accuracy
+from scriptorium.plans.evaluation import marker_edges, match_markers, ordering_accuracy
 
 
 @query("w1_best_line", """
@@ -207,7 +207,7 @@ def structure_found(fx):
 
 @query("w11_truth_order_matches", "with " + TRUTH_SQL.format(name="spatial", cond="true") + " select paper_id, cast(m.t as int) truth_idx, cast(m.d as int) detected_idx from spatial")
 def _(fx):
-    return match_in_truth_order(marker_edges(structure_truth(fx), structure_found(fx), False), ["paper_id"])
+    return match_markers(marker_edges(structure_truth(fx), structure_found(fx), False))
 
 
 _C12 = crop("hx", "hy", "hw", "hh")

@@ -359,15 +359,21 @@ def marker_edges(truth: DataFrame, detected: DataFrame, require_number: bool) ->
     return pairs.withColumn("distance", B.vertical_distance("truth_box", "detected_box"))
 
 
+def match_markers(edges: DataFrame) -> DataFrame:
+    """(paper_id, truth_idx, detected_idx): truth order, matched per island of close markers of a page."""
+    a, b = B.centre_y("truth_box"), B.centre_y("detected_box")
+    return match_in_truth_order(edges, ["paper_id"], on=["page_number"], span=(F.least(a, b), F.greatest(a, b)))
+
+
 def structure_results(truth: DataFrame, detected: DataFrame, candidates: DataFrame, papers: DataFrame) -> DataFrame:
     """One row per paper: marker counts, P/R/F1, number and ordering accuracy.
 
     ``papers``: paper_id, page_count. ``candidates``: paper_id, test_number (all candidates).
     """
     key = ["paper_id"]
-    exact = match_in_truth_order(marker_edges(truth, detected, True), key)
+    exact = match_markers(marker_edges(truth, detected, True))
     placed = marker_edges(truth, detected, False)
-    spatial = match_in_truth_order(placed, key).join(
+    spatial = match_markers(placed).join(
         placed.select(*key, "truth_idx", "detected_idx", "truth_number", "detected_number"),
         [*key, "truth_idx", "detected_idx"],
     )
