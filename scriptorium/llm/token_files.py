@@ -8,10 +8,15 @@ and gathers the data with numpy, without a loop over ids.
 
 Null and empty texts hold the end id alone. Documents with equal doc_id keep one row each, in
 order of their text. The rank table has one entry per vocabulary id and never more.
+
+The vocabulary must be one that drops white space before it merges (as a word-end vocabulary
+does): no id then spans two words, so a text's ids are those of its words in order, and a
+worker asks the library once for each word it has not met. ``spans_words`` refuses others.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -52,11 +57,53 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
+#: Words a worker remembers, and the longest it remembers; others are encoded anew.
+WORDS_KEPT, LONGEST_KEPT = 500_000, 64
+
+
+def spans_words(encode) -> bool:
+    """Does an id of this vocabulary hold white space, or depend on it?"""
+    apart = [i for w in ("one", "Two's", "3;", "\u00e9", "\u65e5\u672c") for i in encode(w)]
+    return any(encode(gap.join(("one", "Two's", "3;", "\u00e9", "\u65e5\u672c"))) != apart for gap in (" ", "\n", "\t \r\n"))
+
+
 @lru_cache(maxsize=2)
 def tokenizer(name: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(SparkFiles.get(name))
+    t = Tokenizer.from_file(SparkFiles.get(name))
+    if spans_words(lambda text: t.encode(text, add_special_tokens=False).ids):
+        raise ValueError(f"{name}: ids of this vocabulary span words")
+    return t, {}
+
+
+def ids_of_words(words: list[str], t, together: int = 200) -> Iterator[bytes]:
+    """Ids of each word. Words go to the library many to a line; where an id begins in the line tells its word."""
+    groups = [words[at : at + together] for at in range(0, len(words), together)]
+    for group, e in zip(groups, t.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, np.int32)
+        begins = np.array([o[0] for o in e.offsets], np.int64)
+        starts = np.cumsum([0, *[len(w) + 1 for w in group]])
+        edges = np.searchsorted(begins, starts).tolist()
+        raw = ids.tobytes()
+        for i in range(len(group)):
+            yield raw[4 * edges[i] : 4 * edges[i + 1]]
+
+
+def encode(text: str, t, known: dict[str, bytes]) -> np.ndarray:
+    """Ids of one whole text and the end id. Only ASCII blanks part words here, so every part is still whole for the library."""
+    parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    new = list({w for w in parts if w not in known})
+    if len(known) + len(new) > WORDS_KEPT:
+        known.clear()
+        new = list(set(parts))
+    known.update(zip(new, ids_of_words(new, t), strict=True))
+    ids = np.frombuffer(b"".join(map(known.__getitem__, parts)), np.int32)
+    for w in new:
+        if len(w) > LONGEST_KEPT:
+            del known[w]
+    return np.append(ids, np.int32(END))
 
 
 def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -64,11 +111,13 @@ def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
     name = ship(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        t = tokenizer(name)
+        t, known = tokenizer(name)
         for batch in batches:
             for part in slices(batch, 50):
-                coded = t.encode_batch(part.column(1).to_pylist(), add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([[*c.ids, END] for c in coded], pa.list_(pa.int32()))], names=["doc_id", "tie", "ids"])
+                coded = [encode(text, t, known) for text in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, coded)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(coded), pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), ids], names=["doc_id", "tie", "ids"])
 
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
     return source.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, ids array<int>")

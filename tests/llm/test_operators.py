@@ -430,3 +430,22 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, sf).toPandas()
     ids = set(pd.read_parquet(f"{sf}/documents.parquet").doc_id)
     assert 0 < len(out) < len(ids) and set(out.doc_id) <= ids and out.doc_id.is_unique
+
+
+def test_remembered_words_give_the_ids_of_whole_texts(monkeypatch):
+    """Blanks of every kind, marks after blanks, special strings, long words, and a memory of three words."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = [
+        "", " ", "\x0b\x0c\x85", "One two  one\tTWO\r\none", "a<|endoftext|> b <|startoftext|>c", "e\u0301 \u0308x \u00a0y\u2028z\x1cq",
+        "\u03a3\u0391\u03a3 \u03a3.", "x" * 3000 + " " + "x" * 3000, "\u65e5\u672c \u8a9e don't 'S 'T\n's", " ".join(f"w{i}" for i in range(900)),
+    ]
+    for kept in (3, 1000):
+        monkeypatch.setattr(token_files, "WORDS_KEPT", kept)
+        known = {}
+        for text in texts * 2:
+            assert token_files.encode(text, t, known).tolist() == [*t.encode(text, add_special_tokens=False).ids, token_files.END]
+        assert all(len(w) <= token_files.LONGEST_KEPT for w in known)
+    other = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert token_files.spans_words(lambda text: other.encode(text, add_special_tokens=False).ids)
