@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.catalog.function_queries import CLASS_SQL
-from scriptorium.catalog.join_queries import PAGE, valid_saves
+from scriptorium.catalog.join_queries import PAGE, half_page_regions, valid_saves
 from scriptorium.catalog.ordered_queries import MATCH_SQL, TRUTH_SQL, structure_found, structure_truth
 from scriptorium.catalog.registry import query
 from scriptorium.operators import fingerprints as P
@@ -113,14 +113,17 @@ def _(fx):
 
 @query("a8_page_rollup", """
     with h as (select paper_id, page_number, count(*) n, string_agg(cast(true_number as varchar), ',' order by true_number) numbers from fx_headings group by all)
-    select g.paper_id, g.page_number, cast(coalesce(n,0) as int) candidates, coalesce(numbers,'') numbers, cast(0 as int) regions from fx_pages g left join h using (paper_id, page_number)""")
+    select g.paper_id, g.page_number, cast(coalesce(n,0) as int) candidates, coalesce(numbers,'') numbers,
+      case when g.page_number=2 then '' else concat(2*g.page_number-1,'@0,',2*g.page_number,'@700') end regions from fx_pages g left join h using (paper_id, page_number)""")
 def _(fx):
     h = fx.headings().select(*PAGE, F.col("true_number").alias("candidate_no"), F.col("true_number").alias("test_number"), F.struct("x", "y").alias("box"), "conf")
     h = h.withColumnRenamed("conf", "confidence")
-    none = h.select(*PAGE, "test_number", F.col("box").alias("region")).where(F.lit(False))
-    return R.page_rollup(fx.pages(), h, h, none).select(
+    # Regions on all pages but the second of a paper, so that pages without any keep an empty array.
+    regions = half_page_regions(fx).where("page_number <> 2")
+    return R.page_rollup(fx.pages(), h, h, regions).select(
         *PAGE, F.size("candidates").alias("candidates"),
-        F.array_join(F.transform("markers", lambda m: m["test_number"].cast("string")), ",").alias("numbers"), F.size("regions").alias("regions"),
+        F.array_join(F.transform("markers", lambda m: m["test_number"].cast("string")), ",").alias("numbers"),
+        F.array_join(F.transform("regions", lambda r: F.concat_ws("@", r["test_number"], r["region"]["y"])), ",").alias("regions"),
     )
 
 

@@ -35,18 +35,13 @@ def half_page_regions(fx):
     select coalesce(d.doc_id, r.doc_id) doc_id, case when d.doc_id is null then 'unexpected_result' when r.doc_id is null then 'missing_result'
       when d.source<>r.source then 'source_mismatch' else 'ok' end status from documents d full outer join r on d.doc_id=r.doc_id""")
 def _(fx):
-    d = fx.table("documents").select("doc_id", F.col("source").alias("page_source"), F.lit(True).alias("page"))
+    d = fx.table("documents")
     r = (
-        fx.table("documents").where("text <> ''")
+        d.where("text <> ''")
         .select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.concat("source", F.lit("x"))).otherwise(F.col("source")).alias("source"))
         .union(fx.table("pages").select(-1 - F.col("page_id"), "url"))
-        .withColumn("result", F.lit(True))
-    )
-    return d.join(r, "doc_id", "full_outer").select(
-        "doc_id",
-        F.when(F.col("page").isNull(), "unexpected_result").when(F.col("result").isNull(), "missing_result")
-        .when(F.col("page_source") != F.col("source"), "source_mismatch").otherwise("ok").alias("status"),
     )
+    return J.match_results(d, r, ["doc_id"], "source")
 
 
 @query("j2_region_words", f"""

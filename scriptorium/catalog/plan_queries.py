@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from scriptorium.catalog import function_queries as FQ
@@ -75,19 +77,36 @@ def _(fx):
     return regions.select(*PAGE, "test_number", "region.y", "region.height")
 
 
+# A result read from another file on a page whose number of words is a multiple of 61; its paper is left out.
 @query("e4_exam_structure", f"""with {CANDIDATE_SQL}, {_chain('0.60e0')},
     dup as (select paper_id, test_number from cand group by all having count(*)>1),
-    per as (select paper_id, count(*) page_count from fx_pages group by 1 having min(page_number)=1 and max(page_number)=count(*))
-    select paper_id, page_count, (select count(*) from cand c where c.paper_id=per.paper_id) candidates, (select count(*) from mark m where m.paper_id=per.paper_id) markers,
-      (select count(*) from regs r where r.paper_id=per.paper_id and per.paper_id not in (select paper_id from regs where bottom<=top)) regions,
-      16-(select count(*) from mark m where m.paper_id=per.paper_id) missing, (select count(*) from dup d where d.paper_id=per.paper_id) duplicates from per""")
+    wrong as (select distinct paper_id from (select paper_id, page_number from fx_words group by all having count(*)%61=0)),
+    per as (select paper_id from fx_pages where paper_id not in (select paper_id from wrong) group by 1 having min(page_number)=1 and max(page_number)=count(*)),
+    good as (select * from regs where paper_id not in (select paper_id from regs where bottom<=top)),
+    c as (select paper_id, page_number, string_agg(concat(no,':',test_number), ',' order by no) candidates from cand group by all),
+    m as (select paper_id, page_number, string_agg(concat(no,':',test_number), ',' order by no) markers from mark group by all),
+    r as (select paper_id, page_number, string_agg(concat(test_number,':',top,':',bottom-top), ',' order by test_number) regions from good group by all),
+    mi as (select paper_id, string_agg(cast(n as varchar), ',' order by n) missing from per, range(1,17) t(n) where not exists (select 1 from mark k where k.paper_id=per.paper_id and k.test_number=n) group by 1),
+    du as (select paper_id, string_agg(cast(test_number as varchar), ',' order by test_number) duplicates from dup group by 1)
+    select g.paper_id, g.page_number, coalesce(candidates,'') candidates, coalesce(markers,'') markers, coalesce(regions,'') regions, coalesce(missing,'') missing, coalesce(duplicates,'') duplicates
+    from fx_pages g join per using (paper_id) left join c using (paper_id, page_number) left join m using (paper_id, page_number) left join r using (paper_id, page_number)
+      left join mi using (paper_id) left join du using (paper_id)""")
 def _(fx):
-    s = R.exam_structure(fx.pages(), fx.words())
-    out = s["pages"].groupBy("paper_id").agg(F.count(F.lit(1)).alias("page_count"))
-    for name in ("candidates", "markers", "regions", "missing", "duplicates"):
-        counted = s[name].groupBy("paper_id").agg(F.count(F.lit(1)).alias(name))
-        out = out.join(counted, "paper_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
-    return out
+    path = F.concat_ws("/", "paper_id", "page_number")
+    counted = fx.words().groupBy(*PAGE).agg((F.count(F.lit(1)) % 61 == 0).alias("wrong"))
+    results = fx.pages().join(counted, PAGE, "left").select(*PAGE, F.when(F.col("wrong"), "elsewhere").otherwise(path).alias("source_path"))
+    s = R.exam_structure(fx.pages().withColumn("source_path", path), fx.words(), results=results)
+
+    def joined(name: str, *fields: str):
+        return F.array_join(F.transform(name, lambda v: F.concat_ws(":", *[reduce(lambda a, k: a[k], f.split("."), v) for f in fields])), ",").alias(name)
+
+    def numbers(name: str):
+        return s[name].groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_list("test_number")).cast("array<string>"), ",").alias(name))
+
+    out = s["rollup"].select(
+        *PAGE, joined("candidates", "candidate_no", "test_number"), joined("markers", "candidate_no", "test_number"), joined("regions", "test_number", "region.y", "region.height")
+    )
+    return out.join(numbers("missing"), "paper_id", "left").join(numbers("duplicates"), "paper_id", "left").fillna("", ["missing", "duplicates"])
 
 
 # Evidence: ink of words and components from arithmetic on their position.

@@ -131,6 +131,24 @@ def status_compare(
     )
 
 
+def match_results(pages: DataFrame, results: DataFrame, keys: Sequence[str], source: str) -> DataFrame:
+    """(keys, status) of every page and every result: ok, missing_result, unexpected_result or source_mismatch.
+
+    A page has one result, read from the page's own file. An unknown source on either side does
+    not contradict the other; a repeated key gives a row per combination.
+    """
+    keys = list(keys)
+    a = pages.select(*keys, F.col(source).alias("_of_page"), F.lit(True).alias("_page"))
+    b = results.select(*keys, F.col(source).alias("_of_result"), F.lit(True).alias("_result"))
+    status = (
+        F.when(F.col("_page").isNull(), "unexpected_result")
+        .when(F.col("_result").isNull(), "missing_result")
+        .when(F.col("_of_page") != F.col("_of_result"), "source_mismatch")
+        .otherwise("ok")
+    )
+    return a.join(b, keys, "full_outer").select(*keys, status.alias("status"))
+
+
 def coverage(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """Identifiers present on one side only, labelled missing or unexpected."""
     missing = expected.select(key).join(actual.select(key), key, "left_anti")

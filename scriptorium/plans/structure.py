@@ -11,6 +11,7 @@ from scriptorium.functions import boxes as B
 from scriptorium.functions import ids
 from scriptorium.functions import scoring as S
 from scriptorium.functions import text as T
+from scriptorium.operators.joins import match_results
 from scriptorium.operators.ranking import number_by_row
 from scriptorium.operators.rules import page_sequence_ok
 from scriptorium.operators.sequences import increasing_chain, with_sequence_confidence
@@ -278,16 +279,29 @@ def missing_numbers(papers: DataFrame, markers: DataFrame, expected: Sequence[in
     return wanted.join(markers.select("paper_id", "test_number"), ["paper_id", "test_number"], "left_anti")
 
 
+def pages_with_results(pages: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages of papers in which every page and result match, the rows that do not match)."""
+    mismatches = match_results(pages, results, PAGE, "source_path").where("status <> 'ok'")
+    return pages.join(mismatches.select("paper_id").distinct(), "paper_id", "left_anti"), mismatches
+
+
 def exam_structure(
     pages: DataFrame,
     words: DataFrame,
     expected: Sequence[int] = EXPECTED,
     minimum_confidence: float = SERVICE_THRESHOLD,
+    results: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """All structure tables of the papers whose pages run from 1 to n."""
+    """All structure tables of the papers whose pages run from 1 to n.
+
+    With ``results`` (PAGE, source_path of every recognition result; ``pages`` has source_path too)
+    papers are also left out when a page lacks a result, has one of another file, or a result
+    has no page. ``rollup`` nests candidates, markers and regions under their pages.
+    """
     checked = page_sequence_ok(pages, ["paper_id"], "page_number")
     usable = checked.where("pages_ok").select("paper_id")
     pages = pages.join(usable, "paper_id", "left_semi")
+    pages, mismatches = pages_with_results(pages, results.join(usable, "paper_id", "left_semi")) if results is not None else (pages, None)
     candidates = detect_markers(pages, words)
     markers, rejected, duplicates = select_markers(candidates, expected, minimum_confidence)
     markers = cut_lineage(markers)
@@ -304,6 +318,8 @@ def exam_structure(
         .union(duplicate_numbers(candidates).select("paper_id", "test_number"))
         .distinct(),
         "broken_papers": checked.where(~F.col("pages_ok")),
+        "rollup": page_rollup(pages, candidates, markers, regions),
+        **({"mismatches": mismatches} if mismatches is not None else {}),
     }
 
 
