@@ -14,6 +14,7 @@ from scriptorium.operators.summaries import exact_medians
 from scriptorium.plans import evaluation as V
 from scriptorium.plans import evidence as E
 from scriptorium.plans import labels as L
+from scriptorium.plans import overviews as O
 from scriptorium.plans import structure as R
 
 _KEYED = """
@@ -39,6 +40,34 @@ def _(fx):
     return join_summaries(distribution, join_summaries(join_summaries(docs, sizes, []), middle, []), [])
 
 
+# Files: documents with pages from their length; images: one per page record.
+_FILES_SQL = "f as (select 1+cast(floor(n_chars/400) as int) pages, n_chars size_bytes, doc_id%17=0 encrypted, text from documents), i as (select length(html) width, length(url)+page_id%97 height from pages)"
+
+
+def dataset_files(fx):
+    files = fx.table("documents").select((1 + F.floor(F.col("n_chars") / 400)).cast("int").alias("pages"), F.col("n_chars").alias("size_bytes"), (F.col("doc_id") % 17 == 0).alias("encrypted"), "text")
+    images = fx.table("pages").select(
+        F.length("html").alias("width"), (F.length("url") + F.col("page_id") % 97).alias("height"), F.when(F.col("page_id") % 3 == 0, "jpeg").otherwise("ccitt").alias("encoding")
+    )
+    return files, images
+
+
+@query("a1_dataset_measures", f"""
+    with {_FILES_SQL}
+    select count(*) files, cast(sum(pages) as bigint) total_pages, cast(sum(size_bytes) as bigint) total_bytes, min(pages) min_pages, median(pages) median_pages, max(pages) max_pages,
+      count(*) filter (where trim(text, ' \t\n\r')='') textless, count(*) filter (where encrypted) encrypted,
+      (select count(*) from i) images, (select count(*) from pages where page_id%3=0) jpeg_images,
+      (select cast(min(width) as int) from i) min_width, (select median(width) from i) median_width, (select cast(max(width) as int) from i) max_width,
+      (select min(height) from i) min_height, (select median(height) from i) median_height, (select max(height) from i) max_height from f""")
+def _(fx):
+    return O.dataset_summary(*dataset_files(fx))
+
+
+@query("a1_page_count_distribution", f"with {_FILES_SQL} select pages page_count, count(*) files from f group by 1")
+def _(fx):
+    return O.page_count_distribution(dataset_files(fx)[0])
+
+
 @query("a2_layout_text", f"""
     with {_KEYED},
     l as (select paper_id, page_number, kb, kp, kl, string_agg(text,' ' order by coalesce(word_number,2147483647), x, y, text) line from k group by all),
@@ -410,6 +439,22 @@ def _(fx):
     )
 
 
+@query("a24_manifest_counts", """
+    with s as (select l_linestatus dataset_id, concat('paper-',l_suppkey) paper_alias, l_linenumber page_number, case when l_quantity>10 then l_linenumber end test_number, lower(l_returnflag) category,
+      case when l_tax>0 then list_value(concat('line-',l_linenumber), 'taxed') else list_value(concat('line-',l_linenumber)) end signals from lineitem)
+    select dataset_id, 'samples' metric, '' "value", count(*) n from s group by 1 union all select dataset_id, 'numbered', '', count(*) from s where test_number is not null group by 1
+    union all select dataset_id, 'distinct_papers', '', count(distinct paper_alias) from s group by 1 union all select dataset_id, 'distinct_pages', '', count(distinct (paper_alias, page_number)) from s group by 1
+    union all select dataset_id, 'paper', paper_alias, count(*) from s group by 1,3 union all select dataset_id, 'category', category, count(*) from s group by 1,3
+    union all select dataset_id, 'signal', g, count(*) from (select dataset_id, unnest(signals) g from s) group by 1,3""")
+def _(fx):
+    line = F.concat(F.lit("line-"), "l_linenumber")
+    return O.manifest_counts(fx.table("lineitem").select(
+        F.col("l_linestatus").alias("dataset_id"), F.concat(F.lit("paper-"), "l_suppkey").alias("paper_alias"), F.col("l_linenumber").alias("page_number"),
+        F.when(F.col("l_quantity") > 10, F.col("l_linenumber")).alias("test_number"), F.array(F.lower("l_returnflag")).alias("categories"),
+        F.when(F.col("l_tax") > 0, F.array(line, F.lit("taxed"))).otherwise(F.array(line)).alias("signals"),
+    ))
+
+
 @query("a25_sample_rows", f"with {_ROWS} select * replace (round(mean_positive_iou,9) as mean_positive_iou) from rows_")
 def _(fx):
     return evaluation_rows(fx).select(

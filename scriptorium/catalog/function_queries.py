@@ -10,6 +10,7 @@ from scriptorium.functions import boxes as B
 from scriptorium.functions import ids
 from scriptorium.functions import scoring as S
 from scriptorium.functions import text as T
+from scriptorium.plans.overviews import page_picks
 
 # Distinct characters of a pair are renamed to single bytes, because DuckDB's levenshtein
 # compares bytes; whitespace is normalised as in the engine.
@@ -294,11 +295,7 @@ def _(fx):
     select distinct l_orderkey, cast(greatest(0,least(pages-1,round_even((pages-1)*f,0)))+1 as int) page_number from f""")
 def _(fx):
     n = fx.table("lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("pages"))
-    fractions = F.array(*[F.lit(v) for v in (0.15, 0.40, 0.65, 0.88)])
-    picks = F.array_distinct(
-        F.transform(fractions, lambda f: F.greatest(F.lit(0), F.least(F.col("pages") - 1, F.bround((F.col("pages") - 1) * f).cast("long"))))
-    )
-    return n.select("l_orderkey", F.explode(picks).alias("p")).select("l_orderkey", (F.col("p") + 1).cast("int").alias("page_number"))
+    return n.select("l_orderkey", F.explode(page_picks(F.col("pages"))).alias("p")).select("l_orderkey", (F.col("p") + 1).cast("int").alias("page_number"))
 
 
 @query("f31_metric_delta", """

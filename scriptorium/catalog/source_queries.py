@@ -93,10 +93,16 @@ def _(fx):
     return I.parse_image_table(reports)
 
 
+# A report of four lines per document: values with further colons, blanks, and a line without a colon.
 @query("s7_key_values", """
-    select doc_id, trim(line[:strpos(line,':')-1]) "key", md5(trim(line[strpos(line,':')+1:])) digest from fx_lines where strpos(line,':')>0""")
+    with r as (select doc_id, unnest([concat('Title:          ',source,': ',lang), concat('Pages:  ',n_chars), concat(' Encrypted :yes (print:no) ',text), 'no report', concat('Tagged:')]) line from documents)
+    select doc_id, trim(line[:strpos(line,':')-1], ' ') "key", md5(trim(line[strpos(line,':')+1:], ' ')) digest from r where strpos(line,':')>0""")
 def _(fx):
-    kv = I.parse_key_values(fx.lines())
+    report = F.array(
+        F.concat(F.lit("Title:          "), F.coalesce("source", F.lit("")), F.lit(": "), F.coalesce("lang", F.lit(""))), F.concat(F.lit("Pages:  "), F.coalesce(F.col("n_chars").cast("string"), F.lit(""))),
+        F.concat(F.lit(" Encrypted :yes (print:no) "), F.coalesce("text", F.lit(""))), F.lit("no report"), F.lit("Tagged:"),
+    )
+    kv = I.parse_key_values(fx.table("documents").select("doc_id", F.explode(report).alias("line")))
     return kv.select("doc_id", "key", F.md5(F.col("value").cast("binary")).alias("digest"))
 
 
