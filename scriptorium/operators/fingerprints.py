@@ -64,16 +64,20 @@ TREE_DIGITS = (10, 7, 4, 2)
 
 
 def tree_fingerprint(
-    records: DataFrame, keys: Sequence[str], record_id: str, record: str, digits: Sequence[int] = TREE_DIGITS
+    records: DataFrame, keys: Sequence[str], record_id: str, record: str, digits: Sequence[int] = TREE_DIGITS, tie: str | None = None
 ) -> DataFrame:
     """Order-independent hash tree over records; nodes are named by the hash of the record id.
 
+    Records of one id follow each other by ``tie``, else by their own hash.
+
     A node has at most 16 to the number of digits between two levels of children, and a leaf of
     ten digits holds about one record in 10^12, so no task collects a long list.
     """
     keys = list(keys)
     nodes = records.select(
-        *keys, F.sha2(F.col(record_id).cast("string"), 256).alias("_node"), F.col(record_id).alias("_order"),
+        *keys, F.sha2(F.col(record_id).cast("string"), 256).alias("_node"), F.struct(
+            F.col(record_id).alias("id"), (F.lit(0) if tie is None else F.col(tie)).alias("tie")
+        ).alias("_order"),
         F.sha2(F.col(record), 256).alias("_h"),
     )
 
