@@ -2,18 +2,20 @@
 
 The rule is sequential per dataset: categories in declared order, best candidates first,
 skipping candidates whose paper or page is full or whose area is already taken. Only the
-selection itself (at most the sum of the quotas per dataset) is state. Each round sends the
-best few eligible candidates per category to the fold; candidates ruled out by the current
-selection are filtered on the cluster first, so a dataset of any size passes through in
-small windows and nothing is cut off.
+selection itself (at most the sum of the quotas per dataset) is state. Each round streams the
+best eligible candidates per category in order past that state; candidates ruled out by the
+current selection are filtered on the cluster first. Windows grow fourfold from round to round,
+so the number of rounds grows with the logarithm of a dataset, and nothing is cut off.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators.suppression import Conflict
@@ -21,6 +23,11 @@ from scriptorium.session import cut_lineage
 
 Same = Callable[[dict, dict], bool]
 
+#: Up to so many datasets, their phases and picks (48 or so each) are sent to every task.
+FEW = 1000
+#: Windows grow from round to round up to this many candidates per dataset and category.
+WIDEST = 1 << 20
+
 
 def _area(b: dict) -> int:
     return b["width"] * b["height"]
@@ -72,7 +79,7 @@ def select_balanced(
     per_paper: int,
     per_page: int | None = None,
     fill_to: int | None = None,
-    window: int = 64,
+    window: int = 4096,
     attributes: Sequence[str] = ("region",),
 ) -> DataFrame:
     """Selected candidates with ``pick_no``, the position in selection order.
@@ -83,39 +90,30 @@ def select_balanced(
     as in-task check.
     """
     phases = [*quotas, *(["*"] if fill_to is not None else [])]
-    payload = [c for c in candidates.columns if c != dataset]
     pool = candidates.where(F.col("category").isin(*[c for c, q in quotas.items() if q > 0])) if fill_to is None else candidates
-    # Copies that agree in everything the rules look at: only the first can ever be taken.
-    pool = (
-        pool.groupBy(dataset, paper, page, "category", *[F.col(a).alias(f"_a_{a}") for a in attributes])
-        .agg(F.min_by(F.struct(*payload), F.struct(*order)).alias("item"))
-        .select(dataset, "item.*")
-        .select(*candidates.columns)
-    )
-    state = cut_lineage(
-        pool.select(dataset).distinct().select(
-            dataset,
-            F.lit(0).alias("phase"),
-            F.array().cast(f"array<{_struct_type(pool, payload)}>").alias("picked"),
-        )
-    )
-    advance = _advance(phases, quotas, same, paper, page, per_paper, per_page, fill_to, window)
-    schema = state.schema
-    while True:
-        open_state = state.where(F.col("phase") < len(phases))
-        if open_state.isEmpty():
-            break
-        offered = _offers(pool, open_state, dataset, paper, page, phases, order, conflict, per_paper, per_page, window)
-        stepped = (
-            open_state.join(offered, dataset, "left")
-            .select(dataset, "phase", "picked", F.coalesce("offers", F.array()).alias("offers"))
-            .mapInPandas(advance(dataset), schema)
+    state = cut_lineage(pool.select(dataset).distinct().select(dataset, F.lit(0).alias("phase")))
+    small = F.broadcast if state.count() <= FEW else lambda df: df
+    kind = _struct_type(pool, [c for c in pool.columns if c != dataset])
+    row = f"`{dataset}` {pool.schema[dataset].dataType.simpleString()}, phase int, pick_no int, item {kind}"
+    picks = pool.sparkSession.createDataFrame([], row).select(dataset, "pick_no", "item")
+    rounds: list[DataFrame] = []
+    while not state.isEmpty():
+        offered = _offers(pool, state, picks if rounds else None, small, dataset, paper, page, phases, order, attributes, conflict, per_paper, per_page, window)
+        held = picks.groupBy(dataset).agg(F.transform(F.array_sort(F.collect_list(F.struct("pick_no", "item"))), lambda p: p["item"]).alias("picked"))
+        # A dataset's own row comes before its offers.
+        heads = state.join(held, dataset, "left").select(dataset, F.lit(-1).alias("turn"), F.lit(0).alias("r"), "phase", "picked")
+        rows = heads.unionByName(offered, allowMissingColumns=True)
+        fold = _advance(phases, quotas, same, attributes, dataset, paper, page, per_paper, per_page, fill_to, window)
+        stepped = cut_lineage(
+            rows.repartition(dataset).sortWithinPartitions(dataset, "turn", "r")
+            .mapInArrow(fold, row)
         )
-        state = cut_lineage(state.where(F.col("phase") >= len(phases)).unionByName(stepped))
-    picks = state.select(dataset, F.posexplode("picked").alias("pick_no", "item")).select(
-        dataset, "item.*", (F.col("pick_no") + 1).alias("pick_no")
-    )
-    return picks if fill_to is None else picks.where(F.col("pick_no") <= fill_to)
+        rounds.append(stepped.where("phase is null").select(dataset, "pick_no", "item"))
+        state = stepped.where(F.col("phase") < len(phases)).select(dataset, "phase")
+        picks = reduce(DataFrame.unionByName, rounds)
+        window = max(window, min(4 * window, WIDEST))
+    out = picks.select(dataset, "item.*", "pick_no")
+    return out if fill_to is None else out.where(F.col("pick_no") <= fill_to)
 
 
 def _struct_type(df: DataFrame, columns: Sequence[str]) -> str:
@@ -123,49 +121,46 @@ def _struct_type(df: DataFrame, columns: Sequence[str]) -> str:
 
 
 def _offers(
-    pool: DataFrame, state: DataFrame, dataset: str, paper: str, page: str, phases: list[str],
-    order: Sequence[str], conflict: Conflict, per_paper: int, per_page: int | None, window: int,
+    pool: DataFrame, state: DataFrame, picks: DataFrame | None, small: Callable[[DataFrame], DataFrame], dataset: str, paper: str, page: str,
+    phases: list[str], order: Sequence[str], attributes: Sequence[str], conflict: Conflict, per_paper: int, per_page: int | None, window: int,
 ) -> DataFrame:
     """Best eligible candidates of every phase not finished yet, ``window`` per phase."""
-    item = F.struct(*[c for c in pool.columns if c != dataset])
-
-    def blocked(candidate: Column, picked: Column) -> Column:
-        on_paper = F.filter(picked, lambda k: k[paper] == candidate[paper])
-        on_page = F.filter(on_paper, lambda k: k[page] == candidate[page])
-        hit = (F.size(on_paper) >= per_paper) | F.exists(on_page, lambda k: conflict(candidate, k))
-        return hit | (F.size(on_page) >= per_page) if per_page is not None else hit
-
-    eligible = (
-        pool.join(state.select(dataset, "phase", "picked"), dataset)
-        .withColumn("item", item)
-        .where(~blocked(F.col("item"), F.col("picked")))
-    )
-    own = F.array_position(F.array(*[F.lit(p) for p in phases]), F.col("category")).cast("int") - 1
-    turns = F.array_compact(
-        F.array(
-            F.when((own >= 0) & (own >= F.col("phase")), own),
-            F.when(F.lit(phases[-1] == "*"), F.lit(len(phases) - 1)),
+    eligible = pool.join(small(state), dataset)
+    if picks is not None:
+        on_paper = picks.groupBy(dataset, F.col(f"item.{paper}").alias(paper)).agg(F.count(F.lit(1)).alias("_n"))
+        on_page = picks.groupBy(dataset, F.col(f"item.{paper}").alias(paper), F.col(f"item.{page}").alias(page)).agg(F.collect_list("item").alias("_here"))
+        item = F.struct(*[c for c in pool.columns if c != dataset])
+
+        def blocks(k):
+            copy = k["category"].eqNullSafe(F.col("category"))
+            for a in attributes:
+                copy = copy & k[a].eqNullSafe(F.col(a))
+            return copy | conflict(item, k)
+
+        hit = F.exists("_here", blocks)
+        if per_page is not None:
+            hit = (F.size("_here") >= per_page) | hit
+        eligible = (
+            eligible.join(small(on_paper.where(F.col("_n") >= per_paper)), [dataset, paper], "left_anti")
+            .join(small(on_page), [dataset, paper, page], "left")
+            .where(F.col("_here").isNull() | ~hit)
+            .drop("_here")
         )
-    )
-    ranked = (
-        eligible.withColumn("turn", F.explode(turns))
-        .withColumn("_r", F.row_number().over(Window.partitionBy(dataset, "turn").orderBy(*order)))
-        .where(F.col("_r") <= window)
-    )
-    return ranked.groupBy(dataset).agg(
-        F.array_sort(F.collect_list(F.struct("turn", F.col("_r").alias("r"), "item"))).alias("offers")
+    own = F.array_position(F.array(*[F.lit(p) for p in phases]), F.col("category")).cast("int") - 1
+    mine = F.when((own >= 0) & (own >= F.col("phase")), own)
+    if phases[-1] == "*":
+        eligible = eligible.withColumn("turn", F.explode(F.array_compact(F.array(mine, F.lit(len(phases) - 1)))))
+    else:
+        eligible = eligible.withColumn("turn", mine).where(F.col("turn").isNotNull())
+    return (
+        eligible.withColumn("r", F.row_number().over(Window.partitionBy(dataset, "turn").orderBy(*order)))
+        .where(F.col("r") <= window)
+        .select(dataset, "turn", "r", F.struct(*[c for c in pool.columns if c != dataset]).alias("item"))
     )
 
 
-def _advance(phases, quotas, same, paper, page, per_paper, per_page, fill_to, window):
-    """In-task fold over one window of offers; stops where the window may be incomplete."""
-
-    def fits(item: dict, picked: list[dict]) -> bool:
-        mine = [k for k in picked if k[paper] == item[paper]]
-        here = [k for k in mine if k[page] == item[page]]
-        if len(mine) >= per_paper or (per_page is not None and len(here) >= per_page):
-            return False
-        return not any(same(item, k) for k in here)
+def _advance(phases, quotas, same, attributes, dataset, paper, page, per_paper, per_page, fill_to, window):
+    """Fold over the offers of a round in order; a dataset stops where its window may be incomplete."""
 
     def full(phase: int, picked: list[dict]) -> bool:
         name = phases[phase]
@@ -173,26 +168,75 @@ def _advance(phases, quotas, same, paper, page, per_paper, per_page, fill_to, wi
             return len(picked) >= fill_to
         return sum(k["category"] == name for k in picked) >= quotas[name]
 
-    def step(dataset: str):
-        def run(batches):
-            for frame in batches:
-                rows = []
-                for key, phase, picked, offers in zip(frame[dataset], frame["phase"], frame["picked"], frame["offers"], strict=True):
-                    chosen = list(picked)
-                    phase = int(phase)
-                    while phase < len(phases):
-                        turn = [o["item"] for o in offers if o["turn"] == phase]
-                        for item in turn:
-                            if full(phase, chosen):
-                                break
-                            if fits(item, chosen):
-                                chosen.append(item)
-                        if not full(phase, chosen) and len(turn) == window:
-                            break
-                        phase += 1
-                    rows.append((key, phase, chosen))
-                yield pd.DataFrame(rows, columns=[dataset, "phase", "picked"])
-
-        return run
-
-    return step
+    def copy(a: dict, b: dict) -> bool:
+        return a["category"] == b["category"] and all(a[x] == b[x] for x in attributes)
+
+    class Walk:
+        """One dataset: its phase, its picks and how many offers of the phase went by."""
+
+        def __init__(self, key, phase: int, picked: list[dict]) -> None:
+            self.key, self.phase, self.picked, self.seen = key, phase, picked, 0
+            self.full = full(phase, picked)
+
+        def reach(self, turn: int) -> bool:
+            """Closes the phases before ``turn``; false where one of them may have more candidates."""
+            while self.phase < turn:
+                if not self.full and self.seen >= window:
+                    return False
+                self.phase, self.seen = self.phase + 1, 0
+                self.full = self.phase >= len(phases) or full(self.phase, self.picked)
+            return True
+
+        def room(self, alias, number) -> list[dict] | None:
+            """Picks of the page, or none where paper or page is full."""
+            mine = [k for k in self.picked if k[paper] == alias]
+            here = [k for k in mine if k[page] == number]
+            return None if len(mine) >= per_paper or (per_page is not None and len(here) >= per_page) else here
+
+        def take(self, item: dict) -> None:
+            self.picked.append(item)
+            self.full = full(self.phase, self.picked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk: Walk | None = None
+        names = [dataset, "phase", "pick_no", "item"]
+
+        def told(keys, kind, items) -> pa.RecordBatch:
+            phases_ = pa.array([w.phase for w in keys], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([w.key for w in keys], kind), phases_, pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), items)], names)
+
+        keys_kind = items_kind = None
+        for batch in batches:
+            keys, items = batch.column(dataset), batch.column("item")
+            keys_kind, items_kind = keys.type, items.type
+            turns = batch.column("turn").to_pylist()
+            aliases, numbers = pc.struct_field(items, paper).to_pylist(), pc.struct_field(items, page).to_pylist()
+            closed: list[Walk] = []
+            taken: list[tuple[int, int]] = []
+            for i, turn in enumerate(turns):
+                if turn < 0:
+                    if walk is not None:
+                        walk.reach(len(phases))
+                        closed.append(walk)
+                    walk = Walk(keys[i].as_py(), batch.column("phase")[i].as_py(), batch.column("picked")[i].as_py() or [])
+                    continue
+                if not walk.reach(turn) or walk.phase > turn:
+                    continue
+                walk.seen += 1
+                here = None if walk.full else walk.room(aliases[i], numbers[i])
+                if here is None:
+                    continue
+                item = items[i].as_py()
+                if not any(copy(item, k) or same(item, k) for k in here):
+                    walk.take(item)
+                    taken.append((i, len(walk.picked)))
+            if taken:
+                at = pa.array([i for i, _ in taken], pa.int64())
+                yield pa.RecordBatch.from_arrays([keys.take(at), pa.nulls(len(taken), pa.int32()), pa.array([n for _, n in taken], pa.int32()), items.take(at)], names)
+            if closed:
+                yield told(closed, keys_kind, items_kind)
+        if walk is not None:
+            walk.reach(len(phases))
+            yield told([walk], keys_kind, items_kind)
+
+    return run
