@@ -338,7 +338,7 @@ def _(fx):
             "l_returnflag", F.when(F.col("l_partkey") % 13 != 0, "success").otherwise("failure").alias("status"), F.lit("x").alias("prediction"),
             F.struct(cer.alias("rate")).alias("cer"), F.struct(wer.alias("rate")).alias("wer"), F.lit(1.0).alias("duration_ms"), F.lit(1.0).alias("preprocessing_ms"),
         )
-        return V.summarize_ocr(rows, ["l_returnflag"])
+        return V.summarize_ocr(rows, ["l_returnflag"], store=False)
 
     base = run(F.col("l_discount"), F.when(F.col("l_quantity") > 8, F.col("l_tax")))
     variant = run(F.col("l_tax"), F.when(F.col("l_returnflag") != "A", F.col("l_discount")))

@@ -6,6 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.operators import summaries
 from scriptorium.operators.summaries import exact_medians
 
 
@@ -46,3 +47,27 @@ def test_every_range_starts_where_the_one_before_ends(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_values_of_every_size_and_null_keys(spark):
+    rng = random.Random(2)
+    sizes = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, float("inf"), float("-inf")]
+    rows = [(k, rng.choice([-1, 1]) * 10.0 ** rng.randrange(-300, 300)) for k in ("a", None) for _ in range(301)]
+    rows += [("a", v) for v in sizes] + [("b", -3.0), ("b", 5.0), ("c", float("inf"))]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(3)
+    got = {r.k: r.m for r in exact_medians(df, ["k"], {"m": F.col("x")}).collect()}
+    assert got == {k: statistics.median([v for a, v in rows if a == k]) for k in ("a", None, "b", "c")}
+
+
+def test_rows_are_neither_shuffled_nor_sorted(spark, monkeypatch):
+    # A size check that never broadcasts: rows of one large key must not meet in one sorted task.
+    plans = []
+    cut = summaries.cut_lineage
+    monkeypatch.setattr(summaries, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    df = spark.range(20_000, numPartitions=4).select(F.lit("k").alias("k"), (F.col("id") % 7).cast("double").alias("x"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exact_medians(df, ["k"], {"m": F.col("x")}).first().m == 3.0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans and not any("SortMergeJoin" in p for p in plans)
