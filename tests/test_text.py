@@ -70,3 +70,24 @@ def test_bit_parallel_helper():
 def test_append_note(spark):
     rows = spark.createDataFrame([("", "n"), ("a\nn", "n"), ("a", "n")], "e string, n string")
     assert [r[0] for r in rows.select(T.append_note(F.col("e"), F.col("n"))).collect()] == ["n", "a\nn", "a\nn"]
+
+
+def test_pairs_advanced_together():
+    import numpy as np
+
+    rng = random.Random(5)
+    pairs = [("", ""), ("", "ab"), ("ab", ""), ("a" * 64, "a" * 65), ("b" * 128, "a")]
+    for _ in range(120):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randrange(0, 150)))
+        b = a.replace("ab", rng.choice(["", "c"])) if rng.random() < 0.7 else "".join(rng.choice("abce") for _ in range(rng.randrange(0, 150)))
+        pairs.append((a, b))
+    codes = [np.array([ord(c) - 97 for p in pairs for c in p[side]], np.int64) for side in (0, 1)]
+    sizes = [np.array([len(p[side]) for p in pairs], np.int64) for side in (0, 1)]
+    assert T._distances(codes[0], sizes[0], codes[1], sizes[1]).tolist() == [T._bit_parallel(*p) for p in pairs]
+
+
+def test_rates_of_long_and_missing_texts(spark):
+    rows = [(0, "ab " * 100, "ab  " * 50), (1, None, "x" * 99), (2, "x" * 99, None), (3, "", "y" * 99), (4, "zhe " * 40 + "\U0001f600", "the " * 40)]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    got = {r.i: (r.c.errors, r.w.errors) for r in df.select("i", T.cer(F.col("a"), F.col("b")).alias("c"), T.wer(F.col("a"), F.col("b")).alias("w")).collect()}
+    assert got == {0: (100, 50), 1: (None, None), 2: (None, None), 3: (99, 1), 4: (41, 41)}
