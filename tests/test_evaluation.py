@@ -78,3 +78,13 @@ def test_ids_that_do_not_line_up_are_refused(spark):
     none = spark.createDataFrame([], f"sample_id int, human_idx int, human_box {box}")
     with pytest.raises(ValueError, match="missing 1, unexpected 1"):
         V.evaluate_evidence(samples, annotations, none, none, none)
+
+
+def test_localization_matches_boxes_once(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    seen = []
+    whole = V.localization_summary
+    monkeypatch.setattr(V, "localization_summary", lambda h, p, m, l: seen.append(m) or whole(h, p, m, l))
+    entry.queries()["a16_localization_summary"](spark, "/root/testdata/sf0.001")
+    assert "collect_list" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
