@@ -77,6 +77,27 @@ def test_similar_groups(docs, none):
     assert ngram_join.similar_groups(none).count() == 0
 
 
+def test_sketches_rule_out_no_link_and_most_others():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 15, 16, 17, 31, 33, 500, 3000):
+        for _ in range(20):
+            x = rng.integers(-2**63, 2**63 - 1, n)
+            y = np.concatenate([x[n // 10:], rng.integers(-2**63, 2**63 - 1, n // 10)])
+            assert ngram_join.alike(x, y) and ngram_join.may_link(n, ngram_join.sketch(x), n, ngram_join.sketch(y))
+            z = x[:-(-4 * n // 5)]
+            assert ngram_join.alike(x, z) and ngram_join.may_link(n, ngram_join.sketch(x), len(z), ngram_join.sketch(z))
+    assert not ngram_join.may_link(3000, ngram_join.sketch(x), 3000, ngram_join.sketch(rng.integers(-2**63, 2**63 - 1, 3000)))
+    assert ngram_join.sketch(np.zeros(300, np.int64)) == b""
+
+
+def test_join_stores_and_deals_no_token_sets(spark, docs, monkeypatch):
+    """Rows that are stored hold no array, and unlike texts that share keys are not dealt out."""
+    seen = []
+    monkeypatch.setattr(ngram_join, "stored", lambda df, keep=ngram_join.stored: seen.append(df.dtypes) or keep(df))
+    ngram_join.links_and_classes(docs)
+    assert seen and not any(kind.startswith("array") for columns in seen for _, kind in columns)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_allocation_never_misses(seed):
     rng = np.random.default_rng(seed)
