@@ -2,8 +2,8 @@
 
 K-mers of code points are numbered by occurrence, so repeats count. Each (k-mer, occurrence)
 has one hash; its top bits deal it to one of ``BINS`` bins, which stand for independent hash
-functions. Every bin selects its ``TUPLE`` smallest hashes, puts the selected k-mers back in
-text order and hashes that tuple: texts with equal k-mer sets but other order differ, which
+functions. Every bin selects its ``TUPLE`` smallest hashes, puts them back in text
+order and hashes that tuple: texts with equal k-mer sets but other order differ, which
 follows edit distance closer than plain MinHash.
 
 Everything is array work inside a row: no k-mer is shuffled. A text shorter than ``K`` is one
@@ -22,50 +22,78 @@ from scriptorium.llm.common import bind
 K = 6
 BINS = 64
 TUPLE = 2
-#: Packed longs: 40 bits of k-mer hash and 23 of position; a longer text wraps its positions.
-PLACE = 1 << 23
+#: Packed longs: 36 bits of hash and 27 of position; a longer text wraps its positions.
+PLACE_BITS = 27
+PLACE = 1 << PLACE_BITS
+#: Hashes of a bin that are sorted on average, of which its smallest are taken.
+SORTED = 24
 
 
-def starts_of(keys: Column) -> Column:
-    """Indices at which a run of equal values starts in a sorted array."""
-    return F.filter(F.transform(keys, lambda x, i: F.when((i == 0) | (F.get(keys, i - 1) != x), i)), lambda i: i.isNotNull())
+def starts_of(keys: Column, unit: int) -> Column:
+    """Indices at which a run of equal values of ``keys / unit``, a power of two, starts in a sorted array."""
+    every = F.slice(F.sequence(F.lit(0), F.size(keys)), F.lit(1), F.size(keys))
+    return F.filter(every, lambda i: (i == 0) | (F.get(keys, i).bitwiseXOR(F.get(keys, i - 1)) >= unit))
+
+
+def packed(hashed: Column, place: Column) -> Column:
+    return F.shiftrightunsigned(hashed, PLACE_BITS + 1) * PLACE + place
 
 
 def signature(text: Column, k: int = K, bins: int = BINS, size: int = TUPLE) -> Column:
-    """Array of ``bins`` hex strings, empty where a bin has no k-mer."""
-    chars = F.split(F.coalesce(text, F.lit("")), "")
-
-    def kmers(c):
-        n = F.least(F.lit(k), F.size(c))
-        packed = F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(c, i, n)), 24) * PLACE + F.pmod(i, F.lit(PLACE)))
-        return bind(F.sort_array(packed), numbered)
-
-    def numbered(s):
-        kmer = F.transform(s, lambda x: F.shiftright(x, 23))
-        return bind(kmer, lambda m: bind(starts_of(m), lambda b: bind(
-            F.flatten(F.transform(b, lambda start, j: F.sequence(F.lit(0), F.coalesce(F.get(b, j + 1), F.size(m)) - start - 1))),
-            lambda occurrence: selected(s, m, occurrence),
-        )))
+    """Array of ``bins`` hex strings, empty where a bin has no k-mer.
+
+    The sort of a text's k-mers stands outside of every lambda, so it runs on primitive longs.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    unit = 1 << (63 - (bins - 1).bit_length())  # the top bits name the bin
+
+    # each match consumes one code point and captures k
+    found = F.transform(F.regexp_extract_all(whole, F.lit(f"(?s)(?=(.{{{k}}}))."), 1), lambda x, i: packed(F.xxhash64(x), i.bitwiseAND(PLACE - 1).cast("long")))
+    kmers = F.when(F.char_length(whole) < k, F.array(packed(F.xxhash64(whole), F.lit(0).cast("long")))).otherwise(found)
+
+    def firsts(s):
+        return F.filter(s, lambda x, i: (i == 0) | (x.bitwiseXOR(F.get(s, i - 1)) >= PLACE))
 
-    def selected(s, m, occurrence):
-        # the hash keeps 40 bits, of which the top ones name the bin; the rest is the position
-        keyed = F.transform(s, lambda x, i: F.shiftrightunsigned(F.xxhash64(F.get(m, i), F.get(occurrence, i)), 24) * PLACE + x.bitwiseAND(PLACE - 1))
-        mixed = F.sort_array(F.zip_with(keyed, m, lambda a, b: F.struct(a.alias("key"), b.alias("kmer"))))
-        return bind(mixed, tuples)
-
-    def tuples(t):
-        of = F.transform(t, lambda x: F.shiftright(x["key"], 63 - (bins - 1).bit_length()))
-        return bind(of, lambda bin_of: bind(starts_of(bin_of), lambda b: bind(
-            F.map_from_entries(F.transform(b, lambda start, j: F.struct(F.get(bin_of, start), one_tuple(F.slice(t, start + 1, F.least(F.lit(size), F.coalesce(F.get(b, j + 1), F.size(t)) - start)))))),
-            lambda found: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.element_at(found, i.cast("long")), F.lit(""))),
+    def repeats(s):
+        return F.filter(s, lambda x, i: x.bitwiseXOR(F.get(s, i - 1)) < PLACE)
+
+    def keyed(again, starts):
+        """Hashes of repeats: a k-mer's first place keeps its own, each later one has another by its number."""
+        def run(start, j):
+            end = F.coalesce(F.get(starts, j + 1), F.size(again))
+            return F.transform(F.slice(again, start + 1, end - start), lambda x, o: packed(F.xxhash64(F.shiftright(x, PLACE_BITS), o + 1), x.bitwiseAND(PLACE - 1)))
+
+        return F.flatten(F.transform(starts, run))
+
+    def selected(s):
+        def of(limit, few, later):
+            mixed = F.sort_array(F.concat(firsts(few), F.filter(later, lambda x: x.bitwiseAND(unit - 1) < limit)))
+            every = bind(F.sort_array(F.concat(firsts(s), later)), lambda t: bind(starts_of(t, unit), lambda b: tuples(t, b)))
+            return bind(mixed, lambda t: bind(starts_of(t, unit), lambda b: F.when((limit == unit) | full(t, b), tuples(t, b)).otherwise(every)))
+
+        # a bin's smallest are looked for among few; should one lack them, among all
+        bound = (F.least(F.lit(1.0), F.lit(float(bins * SORTED)) / F.size(s)) * unit).cast("long")
+        return bind(bound, lambda limit: bind(F.filter(s, lambda x: x.bitwiseAND(unit - 1) < limit), lambda few: bind(
+            repeats(s), lambda again: bind(starts_of(again, PLACE), lambda b: bind(keyed(again, b), lambda later: of(limit, few, later))),
         )))
 
+    def full(t, b):
+        """Whether each bin has as many hashes as it selects, so that none of those left out can be smaller."""
+        return (F.size(b) == bins) & F.forall(b, lambda start: F.coalesce(F.get(t, start + size - 1).bitwiseXOR(F.get(t, start)) < unit, F.lit(False)))
+
+    def tuples(t, b):
+        pair = lambda start, j: one_tuple(F.slice(t, start + 1, F.least(F.lit(size), F.coalesce(F.get(b, j + 1), F.size(t)) - start)))
+        every = F.transform(b, pair)
+        by_bin = F.map_from_entries(F.transform(b, lambda start, j: F.struct(F.shiftright(F.get(t, start), (unit - 1).bit_length()), pair(start, j))))
+        sparse = bind(by_bin, lambda m: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.element_at(m, i.cast("long")), F.lit(""))))
+        return F.when(F.size(b) == bins, every).otherwise(sparse)
+
     def one_tuple(part):
-        ordered = F.array_sort(F.transform(part, lambda x: F.struct(x["key"].bitwiseAND(PLACE - 1).alias("place"), x["kmer"].alias("kmer"))))
-        return F.lpad(F.hex(F.xxhash64(F.transform(ordered, lambda x: x["kmer"]))), 16, "0")
+        by_place = F.transform(part, lambda x: F.shiftleft(x.bitwiseAND(PLACE - 1), 63 - PLACE_BITS).bitwiseOR(F.shiftright(x, PLACE_BITS)))
+        return F.lpad(F.hex(F.xxhash64(F.transform(F.sort_array(by_place), lambda x: x.bitwiseAND((1 << (63 - PLACE_BITS)) - 1)))), 16, "0")
 
     empty = F.array_repeat(F.lit(""), bins)
-    return F.when(F.length(F.coalesce(text, F.lit(""))) == 0, empty).otherwise(bind(chars, kmers))
+    return F.when(F.length(whole) == 0, empty).otherwise(bind(F.sort_array(kmers), selected))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -297,6 +297,30 @@ def test_order_minhash(docs, none):
     assert order_minhash.fingerprints(none).count() == 0
 
 
+@pytest.mark.parametrize("sorted_", [1, 24])
+def test_order_minhash_against_its_definition(spark, monkeypatch, sorted_):
+    """Also where too few hashes of a bin are looked at first, in texts of few k-mers, and beyond the BMP."""
+    monkeypatch.setattr(order_minhash, "SORTED", sorted_)
+    texts = ["a", "abcde", "abcdef", "a" * 40, "x\U0001F642y" * 9, "the cat sat on the mat " * 90, TEXTS[len(TEXTS) - 1]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", order_minhash.signature(F.col("text")).alias("s"))
+    got = {r.i: r.s for r in frame.collect()}
+    mers = [(i, p, t[p:p + 6]) for i, t in enumerate(texts) for p in range(max(len(t) - 5, 1))]
+    first = F.shiftrightunsigned(F.xxhash64("g"), 28)
+    seen, numbered = defaultdict(int), []
+    for r in spark.createDataFrame(mers, "i int, p int, g string").select("i", "p", first.alias("m")).orderBy("i", "p").collect():
+        numbered.append((r.i, r.p, r.m, seen[r.i, r.m]))
+        seen[r.i, r.m] += 1
+    key = F.when(F.col("o") == 0, F.col("m")).otherwise(F.shiftrightunsigned(F.xxhash64("m", "o"), 28))
+    bins = defaultdict(list)
+    for r in spark.createDataFrame(numbered, "i int, p int, m long, o int").select("i", "p", key.alias("k")).collect():
+        bins[r.i, r.k >> 30].append((r.k, r.p))
+    chosen = [(i, b, [k for k, _ in sorted(sorted(v)[:2], key=lambda x: x[1])]) for (i, b), v in bins.items()]
+    expected = {i: [""] * 64 for i in range(len(texts))}
+    for r in spark.createDataFrame(chosen, "i int, b int, k array<long>").select("i", "b", F.lpad(F.hex(F.xxhash64("k")), 16, "0").alias("h")).collect():
+        expected[r.i][r.b] = r.h
+    assert got == expected
+
+
 def test_order_minhash_sees_order_and_repeats(spark):
     words = [f"w{i}" for i in range(200)]
     texts = [" ".join(words), " ".join(words[100:] + words[:100]), " ".join(words), " ".join(reversed(words)), "ab" * 50, "ab" * 500]
