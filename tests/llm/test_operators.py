@@ -402,6 +402,16 @@ def test_quality_against_brute_force_model(spark, docs):
     assert {i: r.perplexity for i, r in got.items()} == pytest.approx(expected, rel=1e-9)
 
 
+def test_quality_model_is_stored_once(docs, monkeypatch):
+    """Of what training stores only the parts of the two models are left, no counts and no second copy."""
+    left = {}
+    monkeypatch.setattr(quality, "stored", lambda df, keep=quality.stored: left.setdefault((out := keep(df))._stored_at, out))
+    monkeypatch.setattr(quality, "free", lambda *tables, drop=quality.free: [left.pop(t._stored_at) for t in tables] and drop(*tables))
+    model, chars = quality.train_words(docs.select("text"))
+    assert sorted(",".join(t.columns) for t in left.values()) == ["g,p"] * 6 + ["h,total,rest"] * 6
+    assert model.count() and chars.count()
+
+
 def test_quality_recall_on_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
